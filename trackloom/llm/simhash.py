@@ -77,7 +77,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def embedded(fp: Column) -> Column:
     """The 32 counts as fields of two bits."""
-    return fp.bitwiseAND(F.lit(_FIELDS)) + F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_FIELDS))
+    low, high = fp.bitwiseAND(F.lit(_FIELDS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_FIELDS))
+    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
 def _counts(x: np.ndarray) -> np.ndarray:
