@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import op10_trie_bpe
+from .pii_crf import op3_pii_crf
+from .quality_cascade import op5_quality_cascade
+from .simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii_crf": op3_pii_crf,
+        "op5_quality_cascade": op5_quality_cascade,
+        "op6_simhash": op6_simhash,
         "op10_trie_bpe": op10_trie_bpe,
     }
 
