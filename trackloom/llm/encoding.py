@@ -10,14 +10,20 @@ from __future__ import annotations
 import functools
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import put, schema, texts_of, without_cycles
 
 
 class Encoder:
     """Ids as little-endian bytes of `dtype`: 16 bits if the vocabulary fits, else 32."""
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -29,6 +35,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.chunked = cut_at_space(parts)
+        #: What follows an ASCII letter as a word of its own.
+        self.stops = {c: np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, self.dtype).tobytes() for c in (b".", b",")}
         self.kept, self.young, self.old = kept, {}, {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -45,14 +53,21 @@ class Encoder:
             if len(young) + len(missing) > self.kept:
                 self.old, self.young = young, {c: young[c] for c in wanted if c in young}
                 young = self.young
-            old, new = self.old, []
+            old, new, stopped = self.old, set(), []
             for c in missing:
-                if (ids := old.get(c)) is None:
-                    new.append(c)
-                else:
+                if (ids := old.get(c)) is not None:
                     young[c] = ids
-            for i in range(0, len(new), 20_000):
-                young.update(zip(part := new[i : i + 20_000], self._by_library(part), strict=True))
+                elif c[-1:] in self.stops and c[-2:-1].isalpha():
+                    stopped.append(c)
+                    if c[:-1] not in young:
+                        new.add(c[:-1])
+                else:
+                    new.add(c)
+            todo = list(new)
+            for i in range(0, len(todo), 20_000):
+                young.update(zip(part := todo[i : i + 20_000], self._by_library(part), strict=True))
+            for c in stopped:
+                young[c] = young[c[:-1]] + self.stops[c[-1:]]
         get = young.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
@@ -64,11 +79,12 @@ class Encoder:
 
 
 def cut_at_space(parts: dict) -> bool:
-    """Whether a tokenizer file drops white space and treats what it divides apart."""
+    """Whether a tokenizer file drops white space, treats what it divides apart, and ends words between letters and others."""
     pre = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     kinds = {n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])}
     added = [t["content"] for t in parts.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or len(t["content"].split()) != 1]
-    return kinds <= {"NFC", "Replace", "Lowercase"} and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and not added and parts["model"].get("end_of_word_suffix") == "</w>"
+    split = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and (pre[0].get("pattern") or {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return kinds <= {"NFC", "Replace", "Lowercase"} and split and not added and parts["model"].get("end_of_word_suffix") == "</w>"
 
 
 @functools.lru_cache(2)
@@ -77,6 +93,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def tokens(docs: DataFrame, path: str | None = None, end: int | None = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep, n_tokens long and ids of every row of docs: its token ids and then the id `end`, if one is given.
+
+    ids is binary, little-endian, of 16-bit integers where the vocabulary fits, else of 32-bit ones (see width()).
+    Text null is empty.
+    """
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        last = b"" if end is None else np.array([end], coder.dtype).tobytes()
+        for batch in batches:
+            with without_cycles():
+                ids = [x + last for x in coder.encode(texts_of(batch.column(len(keep))))]
+            yield put(batch, list(keep), n_tokens=pa.array([len(x) // coder.dtype.itemsize for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
+
+    docs = docs.select(*keep, "text")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *schema("n_tokens long, ids binary").fields]))
+
+
+def width(path: str) -> str:
+    return encoder(path).dtype.str
+
+
 def default_path() -> str:
     import public_tokenizers
 
