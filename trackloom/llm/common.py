@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
     The files go when the driver's process ends.
@@ -49,7 +52,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trackloom/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_removed, spark, path)
     return spark.read.schema(schema).parquet(path)
 
@@ -86,6 +89,17 @@ def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
+@contextlib.contextmanager
+def without_cycles() -> Iterator[None]:
+    """For work that makes many objects and no cycles: the collector doesn't walk through them, now or later."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 def put(batch: pa.RecordBatch, keep: list[str], **columns: pa.Array) -> pa.RecordBatch:
     """The columns keep of batch, then the given ones."""
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + list(columns.values()), [*keep, *columns])

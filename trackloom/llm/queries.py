@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import op10_trie_bpe
+from .packing import op2_nnls_packing
 from .pii_crf import op3_pii_crf
 from .quality_cascade import op5_quality_cascade
+from .rans import op1_rans
 from .simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_rans": op1_rans,
+        "op2_nnls_packing": op2_nnls_packing,
         "op3_pii_crf": op3_pii_crf,
         "op5_quality_cascade": op5_quality_cascade,
         "op6_simhash": op6_simhash,
