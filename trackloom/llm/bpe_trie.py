@@ -10,7 +10,6 @@ The symbols are the 256 bytes inside a word and the 256 bytes at its end (with t
 from __future__ import annotations
 
 import functools
-import gc
 import json
 import re
 import unicodedata
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, put, schema, texts_of
+from .common import documents, put, schema, texts_of, without_cycles
 from .encoding import default_path
 
 END = "</w>"
@@ -40,7 +39,7 @@ def byte_symbols() -> list[str]:
 class TrieBPE:
     """Encodes and decodes with a tokenizer file of byte-level BPE with word ends and dropped white space."""
 
-    def __init__(self, path: str, kept: int = 200_000):
+    def __init__(self, path: str, kept: int = 500_000):
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         model = parts["model"]
@@ -204,9 +203,8 @@ class TrieBPE:
 
 @functools.lru_cache(1)
 def trie_bpe(path: str) -> TrieBPE:
-    coder = TrieBPE(path)
-    gc.freeze()  # the tables stay; no later collection walks through them
-    return coder
+    with without_cycles():
+        return TrieBPE(path)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -221,7 +219,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = trie_bpe(path)
         for batch in batches:
-            ids, decoded = coder.encode(texts_of(batch.column(1)))
+            with without_cycles():
+                ids, decoded = coder.encode(texts_of(batch.column(1)))
             yield put(batch, ["doc_id"], ids=pa.array(ids, pa.binary()), decoded=pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
