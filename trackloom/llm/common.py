@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker; long texts make smaller batches.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 def configured(spark: SparkSession) -> SparkSession:

@@ -12,6 +12,7 @@ from .pii_crf import op3_pii_crf
 from .quality_cascade import op5_quality_cascade
 from .rans import op1_rans
 from .simhash import op6_simhash
+from .suffix_dedup import op4_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rans": op1_rans,
         "op2_nnls_packing": op2_nnls_packing,
         "op3_pii_crf": op3_pii_crf,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_cascade": op5_quality_cascade,
         "op6_simhash": op6_simhash,
         "op10_trie_bpe": op10_trie_bpe,
