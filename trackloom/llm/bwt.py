@@ -1,9 +1,10 @@
 """Repeated passages of a set of strings, by merging Burrows-Wheeler transforms.
 
 The strings are dealt into shards. Each shard's suffixes are sorted and give its transform: of each suffix in order, the
-two symbols before it. The transforms are merged by refining an interleave, a vector that says from which shard each row
-of the merged order comes. It is right for the first d symbols; a stable counting sort by the transforms' symbols, read in
-the order of the interleave, makes it right for d + 2. Suffixes are not compared or sorted again: the rows of a shard keep
+m symbols before it (four, or two where there are too many different fours to count). The transforms are merged by
+refining an interleave, a vector that says from which shard each row of the merged order comes. It is right for the first
+d symbols; a stable counting sort by the transforms' symbols, read in the order of the interleave, makes it right for
+d + m. Suffixes are not compared or sorted again: the rows of a shard keep
 their order. With each step the borders between rows that differ in their first symbols are carried along, so that after
 step d every block is an interval of suffixes with a common prefix of d symbols.
 """
@@ -17,9 +18,9 @@ FIRST = 8
 
 
 class Shard:
-    """Strings of symbols 1 .. alphabet-1, each ended by 0, with their suffixes in order (of equal ones the first first)."""
+    """Strings of symbols from 1, each ended by 0, with their suffixes in order (of equal ones the first first)."""
 
-    def __init__(self, symbols: np.ndarray, depth: int, alphabet: int):
+    def __init__(self, symbols: np.ndarray, depth: int):
         n = len(symbols)
         ends = np.flatnonzero(symbols == 0)
         begins = np.r_[0, ends[:-1] + 1]
@@ -53,40 +54,59 @@ class Shard:
         self.order = order
         before = np.arange(-1, n - 1)
         before[begins] = ends
-        one = before[order]
-        self.pairs = (symbols[before[one]].astype(np.uint32) * alphabet + symbols[one]).astype(np.uint16)
+        self.codes, at = np.zeros(n, np.uint32), order
+        for j in range(4):
+            at = before[at]
+            self.codes |= symbols[at].astype(np.uint32) << np.uint32(8 * j)
+
+
+def transforms(shards: list[Shard]) -> tuple[list[np.ndarray], int]:
+    """Of each shard: what stands before each suffix, as 16-bit numbers in the order of the symbols; and of how many
+    symbols that is."""
+    codes = np.concatenate([s.codes for s in shards])
+    known, at = np.unique(codes, return_inverse=True)
+    step = 4
+    if len(known) > 1 << 16:
+        at, step = codes & np.uint32(0xFFFF), 2
+    return np.split(at.astype(np.uint16), np.cumsum([len(s.order) for s in shards])[:-1]), step
 
 
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, block): the shards' rows (counted over all shards) in merged order, and of each the number of its block.
 
-    Rows of a block have their first `depth` symbols in common; depth is even and at least FIRST.
+    Rows of a block have their first `depth` symbols in common; depth is FIRST and a multiple of four.
     """
     sizes = [len(s.order) for s in shards]
-    base = np.r_[0, np.cumsum(sizes)[:-1]]
-    pairs = np.concatenate([s.pairs for s in shards])
+    before, step = transforms(shards)
     key = np.concatenate([s.key for s in shards])
     by = np.argsort(key, kind="stable")
     key = key[by]
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)[by]
-    block = np.cumsum(np.r_[0, key[1:] != key[:-1]], dtype=np.int32)
-    rows = np.empty(len(by), np.int64)
-    d = FIRST
-    while True:
-        for k in range(len(shards)):
-            rows[source == k] = np.arange(base[k], base[k] + sizes[k])
-        if d >= depth:
-            return rows, block
-        symbol = pairs[rows]
+    # of each row: its block, and in the lowest bits its shard
+    state = np.cumsum(np.r_[0, key[1:] != key[:-1]], dtype=np.int32) << 3 | np.repeat(np.arange(len(shards), dtype=np.int32), sizes)[by]
+    symbol = np.empty(len(by), np.uint16)
+    for d in range(FIRST, depth, step):
+        source = (state & 7).astype(np.uint8)
+        for k, own in enumerate(before):
+            symbol[source == k] = own
         by = np.argsort(symbol, kind="stable")  # 16 bits: a counting sort
-        symbol, old, source = symbol[by], block[by], source[by]
-        block = np.cumsum(np.r_[False, (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])], dtype=np.int32)
-        d += 2
+        new, state = symbol[by], state[by]
+        block = state >> 3
+        border = new[1:] != new[:-1]
+        border |= block[1:] != block[:-1]
+        np.cumsum(border, out=block[1:])
+        block[0] = 0
+        state &= 7
+        state |= block << 3
+    source, rows, first = state & 7, np.empty(len(by), np.int64), 0
+    for k, size in enumerate(sizes):
+        rows[source == k] = np.arange(first, first + size)
+        first += size
+    return rows, state >> 3
 
 
-def repeated(strings: list[bytes], depth: int, n_shards: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(strings: list[bytes], depth: int, n_shards: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, block) of each place where `depth` symbols begin that begin at another place too; equal blocks
-    have equal symbols. depth is even."""
+    have equal symbols. At most eight shards; depth is FIRST and a multiple of four."""
     n_shards = max(1, min(n_shards, len(strings)))
     size = np.array([len(s) + 1 for s in strings])
     text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)  # no byte of UTF-8
@@ -103,7 +123,7 @@ def repeated(strings: list[bytes], depth: int, n_shards: int = 4) -> tuple[np.nd
     symbols = np.where(closing, 0, code[text]).astype(np.uint8)
     cut = np.searchsorted(ends, np.linspace(0, len(text), n_shards + 1)[1:-1])
     borders = np.unique(np.r_[0, ends[cut] + 1, len(text)])
-    shards = [Shard(symbols[a:b], depth, alphabet) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+    shards = [Shard(symbols[a:b], depth) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
     rows, block = merged(shards, depth)
     position = np.concatenate([s.order + a for s, a in zip(shards, borders[:-1], strict=True)])[rows]
     left = np.concatenate([s.left for s in shards])[position]

@@ -30,10 +30,11 @@ from .common import documents, keyed, parallelism, schema, stored, texts_of
 
 WINDOW, GRAM, FINE = 100, 32, 64
 #: Window starts of a segment at most; segments and bytes that a task gathers before it goes on.
-RUN, GATHERED, CHUNK = 4096, 500_000, 2 << 20
+RUN, GATHERED, CHUNK = 4096, 500_000, 1 << 20
 SELF = 1 << 20
 #: Different segments of a key from which it is split, and how many keys may be split at most (their list is broadcast).
-SPLIT, MOST_SPLIT = 512, 1 << 22
+#: They are estimated from one document in SAMPLE, which decides how the work is dealt and never what goes.
+SPLIT, MOST_SPLIT, SAMPLE = 512, 1 << 22, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,8 +126,9 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def common_keys(docs: DataFrame) -> np.ndarray:
-    """Keys, in order, of so many different segments that no task should get them all. Only keys with several in one task
-    are counted, so a key may have as many more as there are tasks."""
+    """Keys, in order, of about so many different segments that no task should get them all. Only keys with several in a
+    task's sample are counted, so a key may have some SAMPLE times as many as there are tasks and not be named."""
+    docs = docs.where(F.pmod(F.xxhash64("_k"), F.lit(SAMPLE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
@@ -136,9 +138,9 @@ def common_keys(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
-    counts = stored(docs.mapInArrow(run, schema("key long, n long")).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= SPLIT)), "keys")
+    counts = stored(docs.mapInArrow(run, schema("key long, n long")).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= SPLIT // SAMPLE)), "keys")
     total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("key").isNotNull() & (F.col("n") >= max(SPLIT, total // MOST_SPLIT))).collect()
+    rows = counts.where(F.col("key").isNotNull() & (F.col("n") >= max(SPLIT // SAMPLE, total // MOST_SPLIT))).collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -174,7 +176,7 @@ def met(docs: DataFrame) -> DataFrame:
             group = np.cumsum(_changes(key)) - 1
             several = (np.bincount(group, first & ~known) > 1)[group] if cut else known
             out = ~first | known | several | (n >= SELF)
-            return pa.RecordBatch.from_arrays([pa.array((~first | known)[out]), pa.array(key[out]), pa.array(doc[out]), pa.array(lo[out]), pa.array(np.abs(n[out]) % SELF)], ["gone", "key", "_k", "lo", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((~first | known)[out]), pa.array(key[out]), pa.array(doc[out]), pa.array(lo[out]), pa.array(np.abs(n[out]))], ["gone", "key", "_k", "lo", "n"])
 
         for batch in batches:
             waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
@@ -187,31 +189,30 @@ def met(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(meet, schema("gone boolean, key long, _k long, lo long, n int")), "segments")
 
 
-def narrowed(keys: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(segment, first window, text) of the parts whose windows share a longer gram with another part of their key, or of texts that repeat themselves."""
-    fine, starts, where, sizes, own = [], [], [], [], []
-    for i, text in enumerate(texts):
-        grams = gram_hashes(np.frombuffer(text, np.uint8), FINE)
-        k = slid(grams, WINDOW - FINE + 1, np.minimum)
-        own.append(len(set(grams.tolist())) < len(grams))
-        s = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        fine.append(k[s] ^ keys[i])
-        starts.append(s)
-        sizes.append(np.diff(np.r_[s, len(k)]))
-        where.append(np.full(len(s), i))
-    f, s, n, w = (np.concatenate(x) for x in (fine, starts, sizes, where))
-    _, at, count = np.unique(f, return_inverse=True, return_counts=True)
-    keep = (count[at] > 1) | np.array(own)[w]  # or it has a longer gram twice itself
-    f, s, n, w = f[keep], s[keep], n[keep], w[keep]
-    begin = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (s[1:] != s[:-1] + n[:-1])]) if len(w) else np.zeros(0, int)
+def narrowed(keys: np.ndarray, lo: np.ndarray, own: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(segment, first window, text) of the parts whose windows share a longer gram with another part of their key, or of
+    segments that may repeat themselves (own)."""
+    size = np.array([len(t) for t in texts])
+    end = np.cumsum(size)
+    least = window_keys(np.frombuffer(b"".join(texts), np.uint8), FINE)
+    of = np.repeat(np.arange(len(texts)), size)[: len(least)]
+    inside = np.arange(len(least)) <= (end - WINDOW)[of]
+    key = least ^ keys[of]
+    s = np.flatnonzero(inside & np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+    stop = np.flatnonzero(inside & np.r_[(key[1:] != key[:-1]) | (of[1:] != of[:-1]) | ~inside[1:], True]) + 1
+    _, at, count = np.unique(key[s], return_inverse=True, return_counts=True)
+    w = of[s]
+    keep = (count[at] > 1) | own[w]
+    s, stop, w = s[keep], stop[keep], w[keep]
+    begin = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (s[1:] != stop[:-1])]) if len(w) else np.zeros(0, int)
     last = np.r_[begin[1:] - 1, len(w) - 1][: len(begin)]
-    out = [texts[i][a:b] for i, a, b in zip(w[begin].tolist(), s[begin].tolist(), (s[last] + n[last] + WINDOW - 1).tolist(), strict=True)]
-    return w[begin], lo[w[begin]] + s[begin], out
+    a, b, w = s[begin] - (end - size)[w[begin]], stop[last] - (end - size)[w[begin]] + WINDOW - 1, w[begin]
+    return w, lo[w] + a, [texts[i][x:y] for i, x, y in zip(w.tolist(), a.tolist(), b.tolist(), strict=True)]
 
 
-def later(keys: np.ndarray, docs: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later(keys: np.ndarray, docs: np.ndarray, lo: np.ndarray, own: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first window, windows) of the runs of windows that repeat an earlier one, by document and place."""
-    of, first, parts = narrowed(keys, lo, texts)
+    of, first, parts = narrowed(keys, lo, own, texts)
     if not len(of):
         return of, of, of
     string, offset, block = repeated(parts, WINDOW)
@@ -240,38 +241,38 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, parts in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for p in parts:
-                    for column, v in zip(rows, (p["key"], doc, p["lo"], text[p["lo"] : p["lo"] + p["n"] + WINDOW - 1]), strict=True):
+                    for column, v in zip(rows, (p["key"], doc, p["lo"], p["n"] >= SELF, text[p["lo"] : p["lo"] + p["n"] % SELF + WINDOW - 1]), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.binary())], ["key", "_k", "lo", "data"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.bool_()), pa.array(rows[4], pa.binary())], ["key", "_k", "lo", "own", "data"])
 
-    bytes_of = dealt.join(wanted.hint("shuffle_hash"), F.col("_k") == F.col("of_k")).select("_k", "text", "parts").mapInArrow(cut, schema("key long, _k long, lo long, data binary"))
+    bytes_of = dealt.join(wanted.hint("shuffle_hash"), F.col("_k") == F.col("of_k")).select("_k", "text", "parts").mapInArrow(cut, schema("key long, _k long, lo long, own boolean, data binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, lo = (np.zeros(0, np.int64) for _ in range(3))
+        key, doc, lo, own = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
         data: list[bytes] = []
         size = 0
 
         def done(m: int) -> pa.RecordBatch:
-            d, a, runs = later(key[:m].view(np.uint64), doc[:m], lo[:m], data[:m])
+            d, a, runs = later(key[:m].view(np.uint64), doc[:m], lo[:m], own[:m], data[:m])
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(runs, pa.int32())], ["_k", "lo", "n"])
 
         for batch in batches:
-            key, doc, lo = (np.r_[x, c.to_numpy()] for x, c in zip((key, doc, lo), batch.columns[:3], strict=True))
-            new = batch.column(3).to_pylist()
+            key, doc, lo, own = (np.r_[x, c.to_numpy(zero_copy_only=False)] for x, c in zip((key, doc, lo, own), batch.columns[:4], strict=True))
+            new = batch.column(4).to_pylist()
             data += new
             size += sum(map(len, new))
             if size >= CHUNK and (m := int(np.flatnonzero(_changes(key))[-1])):  # the last key may go on
                 yield done(m)
-                key, doc, lo, data = key[m:], doc[m:], lo[m:], data[m:]
+                key, doc, lo, own, data = key[m:], doc[m:], lo[m:], own[m:], data[m:]
                 size = sum(map(len, data))
         if data:
             yield done(len(data))
 
     compared = bytes_of.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, schema("_k long, lo long, n int"))
-    gone = segs.where("gone").select("_k", "lo", "n").unionByName(compared)
+    gone = segs.where("gone").select("_k", "lo", (F.col("n") % SELF).alias("n")).unionByName(compared)
     runs = gone.groupBy(F.col("_k").alias("of_k")).agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("runs"))
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
