@@ -11,6 +11,7 @@ from .packing import op2_nnls_packing
 from .pii_crf import op3_pii_crf
 from .quality_cascade import op5_quality_cascade
 from .rans import op1_rans
+from .rp_forest import op7_rp_forest
 from .simhash import op6_simhash
 from .suffix_dedup import op4_suffix_dedup
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_cascade": op5_quality_cascade,
         "op6_simhash": op6_simhash,
+        "op7_rp_forest": op7_rp_forest,
         "op10_trie_bpe": op10_trie_bpe,
     }
 
