@@ -14,6 +14,7 @@ from .rans import op1_rans
 from .rp_forest import op7_rp_forest
 from .simhash import op6_simhash
 from .suffix_dedup import op4_suffix_dedup
+from .warc import op8_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_cascade": op5_quality_cascade,
         "op6_simhash": op6_simhash,
         "op7_rp_forest": op7_rp_forest,
+        "op8_warc_derivatives": op8_warc_derivatives,
         "op10_trie_bpe": op10_trie_bpe,
     }
 
