@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import op10_trie_bpe
+from .lm_scoring import op9_gru_lm
 from .packing import op2_nnls_packing
 from .pii_crf import op3_pii_crf
 from .quality_cascade import op5_quality_cascade
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_rp_forest": op7_rp_forest,
         "op8_warc_derivatives": op8_warc_derivatives,
+        "op9_gru_lm": op9_gru_lm,
         "op10_trie_bpe": op10_trie_bpe,
     }
 
