@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +85,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return stored(numbered.select(F.monotonically_increasing_id().alias("_k"), "doc_id", "text"), "keyed")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a unique long that ascends with doc_id (see keyed())."""
+    key = free_name(docs.columns, "row_key")
+    twice = docs.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not twice:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    n = parallelism(docs.sparkSession)
+    return stored(docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with another text and, where there is such a column, its count of characters."""
+    docs = docs.withColumn("text", text)
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 

@@ -298,6 +298,16 @@ def removed(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(without, schema("_k long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, kept_text of every row of docs: what stays, without the bytes of characters that were cut apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "kept_text"])
+
+    return removed(docs).select("doc_id", "kept").mapInArrow(run, schema("doc_id long, kept_text string"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes and what stays of every document."""
     found = removed(documents(spark, sf_dir))
