@@ -22,20 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, put, schema, texts_of, without_cycles
-from .encoding import default_path
+from .encoding import byte_symbols, default_path
 
 END = "</w>"
 #: Unicode's White_Space, as the vocabulary's normalizer has it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class TrieBPE:
     """Encodes and decodes with a tokenizer file of byte-level BPE with word ends and dropped white space."""
 
