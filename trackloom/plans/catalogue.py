@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tracks
+from . import groups, tracks
 
-MODULES = (tracks,)
+MODULES = (tracks, groups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
