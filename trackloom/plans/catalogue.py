@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, tracks
+from . import groups, maps, tracks
 
-MODULES = (tracks, groups)
+MODULES = (tracks, groups, maps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
