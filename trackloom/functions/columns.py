@@ -45,6 +45,12 @@ def central(values: Column, share: float) -> Column:
     return F.when((n < 5) | F.lit(share >= 1), values).otherwise(F.slice(values, low + 1, high - low))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Aggregate: Pearson's r of the rows that have both; NULL where one is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def circular_r(sin: Column, cos: Column) -> Column:
     """Resultant length from mean sine and cosine."""
     return F.sqrt(sin * sin + cos * cos)

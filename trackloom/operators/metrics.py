@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TrackConfig
-from ..functions.columns import central, circular_r, listed, mean_of, ratio, sd_of
+from ..functions.columns import central, circular_r, correlation, listed, mean_of, ratio, sd_of
 from .kinematics import bouts
 
 TRIMMED = {"velocity": "speed", "acce": "accel", "angv": "ang_vel", "angacc": "ang_acc", "meander": "meander"}
@@ -91,7 +91,7 @@ def intermittency(steps: DataFrame, threshold: float) -> DataFrame:
     """Pauses and runs: their lengths, the share of time moving, stops per time, burstiness and memory of the runs."""
     b = bouts(steps, threshold)
     w = Window.partitionBy("uid").orderBy("run")
-    runs = b.where("moving").withColumn("before", F.lag("length").over(w)).groupBy(F.col("uid").alias("ruid")).agg(F.count("*").alias("n_runs"), F.avg("length").alias("run_mean"), F.stddev_pop("length").alias("run_sd"), F.corr("length", "before").alias("memory"))
+    runs = b.where("moving").withColumn("before", F.lag("length").over(w)).groupBy(F.col("uid").alias("ruid")).agg(F.count("*").alias("n_runs"), F.avg("length").alias("run_mean"), F.stddev_pop("length").alias("run_sd"), correlation("length", "before").alias("memory"))
     last = F.max("run").over(Window.partitionBy("uid"))
     ends = b.withColumn("last", last)
     a = ends.groupBy("uid").agg(F.sum("length").alias("time"), F.coalesce(F.sum(F.when(F.col("moving"), F.col("length"))), F.lit(0.0)).alias("moving_time"), F.avg(F.when(~F.col("moving"), F.col("length"))).alias("halt"), F.stddev_pop(F.when(~F.col("moving"), F.col("length"))).alias("halt_sd"), F.count(F.when(F.col("moving") & (F.col("run") < F.col("last")), 1)).alias("stops"))
@@ -99,7 +99,7 @@ def intermittency(steps: DataFrame, threshold: float) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return a.join(runs, F.col("uid") == F.col("ruid"), "left").select(
         "uid", zero("halt").alias("avg_haltT"), zero("halt_sd").alias("std_haltT"), F.when(F.col("time") > 0, F.col("moving_time") / F.col("time")).alias("fraction_moving"), F.when(F.col("time") > 0, F.col("stops") / F.col("time")).alias("stop_frequency"),
-        zero("run_mean").alias("mean_run_duration"), zero("halt").alias("mean_pause_duration"), F.when(F.col("n_runs") > 2, burst).alias("burstiness"), F.when(F.col("n_runs") > 3, F.nullif(F.col("memory"), F.lit(float("nan")))).alias("memory_coefficient"),
+        zero("run_mean").alias("mean_run_duration"), zero("halt").alias("mean_pause_duration"), F.when(F.col("n_runs") > 2, burst).alias("burstiness"), F.when(F.col("n_runs") > 3, F.col("memory")).alias("memory_coefficient"),
     )
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, finite
+from ..functions.columns import average_rank, correlation, finite
 
 SCALERS = ("zscore", "minmax", "robust", "rank", "none")
 
@@ -77,7 +77,7 @@ def correlations(table: DataFrame, features: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     if not pairs:
         raise ValueError("two features are needed")
-    every = F.array([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
+    every = F.array([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r")) for a, b in pairs])
     return table.agg(every.alias("all")).select(F.explode("all").alias("e")).select("e.*")
 
 
