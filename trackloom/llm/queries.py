@@ -14,6 +14,7 @@ from .quality_cascade import op5_quality_cascade
 from .rans import op1_rans
 from .rp_forest import op7_rp_forest
 from .simhash import op6_simhash
+from .sql import SQL
 from .suffix_dedup import op4_suffix_dedup
 from .warc import op8_warc_derivatives
 
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
