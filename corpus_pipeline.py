@@ -32,9 +32,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the passages that occur earlier; a text may become empty, and a null one stays null."""
     configured(spark)
     rows, key = with_key(docs)
-    found = suffix_dedup.texts(rows.select(F.col(key).alias("doc_id"), "text"))
-    joined = with_text(rows.join(found.withColumnRenamed("kept_text", key + "_kept").withColumnRenamed("doc_id", key), key, "left"), F.when(F.col("text").isNotNull(), F.col(key + "_kept")))
-    return joined.select(*docs.columns)
+    found = suffix_dedup.texts(rows.select(F.col(key).alias("doc_id"), "text")).toDF(key, key + "_kept")
+    others = rows.withColumn(key + "_null", F.col("text").isNull()).drop("text")  # the old texts stay where they are
+    joined = others.join(found, key)
+    return with_text(joined, F.when(~F.col(key + "_null"), F.col(key + "_kept"))).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

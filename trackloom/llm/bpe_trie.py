@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, put, schema, texts_of, without_cycles
+from .common import CACHES, documents, put, schema, texts_of, trimming, turn, without_cycles
 from .encoding import byte_symbols, default_path
 
 END = "</w>"
@@ -196,10 +196,13 @@ class TrieBPE:
 
 @functools.lru_cache(1)
 def trie_bpe(path: str) -> TrieBPE:
-    with without_cycles():
+    with without_cycles(keep=True):
         return TrieBPE(path)
 
 
+CACHES["trie"] = trie_bpe.cache_clear
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit integers), decoded (string) of every row of docs.
 
@@ -210,14 +213,15 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("trie")
         coder = trie_bpe(path)
         for batch in batches:
-            with without_cycles():
+            with without_cycles(keep=True):
                 ids, decoded = coder.encode(texts_of(batch.column(1)))
             yield put(batch, ["doc_id"], ids=pa.array(ids, pa.binary()), decoded=pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, schema("doc_id long, ids binary, decoded string"))
+    return docs.mapInArrow(trimming(run), schema("doc_id long, ids binary, decoded string"))
 
 
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

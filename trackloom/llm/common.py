@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,9 @@ def _removed(spark: SparkSession, path: str) -> None:
     jvm = getattr(spark, "_jvm", None)
     if jvm is None or spark.sparkContext._jsc is None:
         return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    with contextlib.suppress(Exception):  # the session may be gone already
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -113,17 +115,80 @@ def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
+#: What drops a worker's caches, by the work that they are for; and the work that the worker did last.
+CACHES: dict[str, Callable[[], None]] = {}
+_LAST = [""]
+
+
+def turn(work: str) -> None:
+    """Called where a task begins: a worker that turns to other work drops the caches of what it did before."""
+    if _LAST[0] != work:
+        for name, drop in CACHES.items():
+            if name != work:
+                drop()
+        gc.unfreeze()
+        gc.collect()
+        trim()
+        _LAST[0] = work
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimming(run: Callable) -> Callable:
+    """run, a function for mapInArrow, that leaves no freed memory behind: workers stay when their task is over."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 @contextlib.contextmanager
-def without_cycles() -> Iterator[None]:
-    """For work that makes many objects and no cycles: the collector doesn't walk through them, now or later."""
+def without_cycles(keep: bool = False) -> Iterator[None]:
+    """For work that makes many objects and no cycles: the collector doesn't walk through them meanwhile, nor (keep)
+    later."""
     gc.disable()
     try:
         yield
     finally:
-        gc.freeze()
+        if keep:
+            gc.freeze()
         gc.enable()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a unique long that ascends with doc_id (see keyed())."""
+    key = free_name(docs.columns, "row_key")
+    twice = docs.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not twice:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    n = parallelism(docs.sparkSession)
+    return stored(docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with another text and, where there is such a column, its count of characters."""
+    docs = docs.withColumn("text", text)
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def schema(text: str) -> T.StructType:
+    return T._parse_datatype_string(text)
+
+
 def put(batch: pa.RecordBatch, keep: list[str], **columns: pa.Array) -> pa.RecordBatch:
     """The columns keep of batch, then the given ones."""
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + list(columns.values()), [*keep, *columns])

@@ -20,21 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import put, schema, texts_of, without_cycles
+from .common import CACHES, put, schema, texts_of, trim, trimming, turn, without_cycles
 
 
 class Encoder:
     """Ids as little-endian bytes of `dtype`: 16 bits if the vocabulary fits, else 32."""
 
-    def __init__(self, path: str, kept: int = 1_200_000):
+    def __init__(self, path: str, kept: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.dtype = np.dtype(width(path))
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.shown = dict(enumerate(byte_symbols()))
@@ -143,6 +142,8 @@ class Cache:
         self.part = np.concatenate([self.part, part])
 
 
+#: Bytes of text that are encoded together; numpy needs some thirty times as many for a moment.
+TOGETHER = 4 << 20
 _SPACES = np.zeros(256, bool)
 _SPACES[list(b" \t\n\r\v\f")] = True
 #: Bytes of a chunk that its key holds.
@@ -218,6 +219,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def sliced(texts: list[bytes], most: int = TOGETHER) -> Iterator[list[bytes]]:
+    """Neighbours of about `most` bytes together, or one longer text; one empty slice if there are none."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    yield texts[begin:]
+
+
+CACHES["tokens"] = encoder.cache_clear
+
+
 def tokens(docs: DataFrame, path: str | None = None, end: int | None = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, n_tokens long and ids of every row of docs: its token ids and then the id `end`, if one is given.
 
@@ -227,20 +242,31 @@ def tokens(docs: DataFrame, path: str | None = None, end: int | None = 2, keep:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("tokens")
         coder = encoder(path)
         last = b"" if end is None else np.array([end], coder.dtype).tobytes()
         for batch in batches:
+            texts = texts_of(batch.column(len(keep)))
             with without_cycles():
-                sizes, ids = coder.encode(texts_of(batch.column(len(keep))), last)
+                parts = [coder.encode(part, last) for part in sliced(texts)]
+            sizes, ids = np.concatenate([s for s, _ in parts]), b"".join([x for _, x in parts])
+            del parts
+            trim()
             borders = pa.py_buffer(np.cumsum(np.r_[0, sizes]).astype(np.int32))
             yield put(batch, list(keep), n_tokens=pa.array(sizes // coder.dtype.itemsize), ids=pa.Array.from_buffers(pa.binary(), len(sizes), [None, borders, pa.py_buffer(ids)]))
 
     docs = docs.select(*keep, "text")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *schema("n_tokens long, ids binary").fields]))
+    return docs.mapInArrow(trimming(run), T.StructType([*docs.schema.fields[:-1], *schema("n_tokens long, ids binary").fields]))
 
 
+@functools.lru_cache(4)
 def width(path: str) -> str:
-    return encoder(path).dtype.str
+    """The type of ids: 16 bits where all fit. Read from the file, without loading the tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    vocabulary = parts["model"]["vocab"]
+    size = max([*(vocabulary.values() if isinstance(vocabulary, dict) else range(len(vocabulary))), *(t["id"] for t in parts.get("added_tokens", []))], default=0)
+    return "<u2" if size < 1 << 16 else "<u4"
 
 
 def default_path() -> str:

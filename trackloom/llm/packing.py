@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, schema, stored
+from .common import documents, parallelism, schema, stored, trimming
 from .encoding import default_path, tokens, width
 
 WINDOW, UNIT = 4096, 16
@@ -43,13 +43,12 @@ def strategies(units: int) -> list[Strategy]:
 
 
 def nonnegative_least_squares(a: np.ndarray, h: np.ndarray, most: int | None = None) -> np.ndarray:
-    """x >= 0 that minimises |a x - h|, by active sets on the normal equations."""
+    """x >= 0 that minimises |a x - h|, by active sets; only the active columns' normal equations are formed."""
     n = a.shape[1]
-    gram, target = a.T @ a, a.T @ h
     x, passive = np.zeros(n), np.zeros(n, bool)
-    least = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
+    least = 1e-9 * max(1.0, float(np.abs(a.T @ h).max(initial=0)))
     for _ in range(most or 3 * a.shape[0]):
-        slope = target - gram @ x
+        slope = a.T @ (h - a @ x)
         slope[passive] = -np.inf
         k = int(slope.argmax())
         if slope[k] <= least:
@@ -57,7 +56,11 @@ def nonnegative_least_squares(a: np.ndarray, h: np.ndarray, most: int | None = N
         passive[k] = True
         while True:
             at = np.flatnonzero(passive)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], target[at], rcond=1e-12)[0]
+            part = a[:, at]
+            try:
+                z = np.linalg.solve(part.T @ part, part.T @ h)
+            except np.linalg.LinAlgError:  # columns that depend on each other
+                z = np.linalg.lstsq(part, h, rcond=1e-12)[0]
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
@@ -161,7 +164,7 @@ def placed(sizes: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFram
             sequence, slot = places.of(batch.column(3).to_numpy(), batch.column(4).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(slot)], [*batch.schema.names, "sequence_id", "slot"])
 
-    where = stored(ranked.mapInArrow(run, schema("k long, start long, length long, bin int, rank long, sequence_id long, slot long")), "pieces")
+    where = stored(ranked.mapInArrow(trimming(run), schema("k long, start long, length long, bin int, rank long, sequence_id long, slot long")), "pieces")
     order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     fitted = where.where("sequence_id >= 0").select("k", "start", "length", "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
     rest = where.where("sequence_id < 0").withColumn("group", F.expr("rank div 65536"))
@@ -199,7 +202,7 @@ def packed(docs: DataFrame, path: str | None = None, end: int | None = 2, window
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in rows.items()], list(rows))
 
     joined = coded.join(of.withColumnRenamed("k", "of_k"), F.col("k") == F.col("of_k")).select("doc_id", "n_tokens", "ids", "pieces")
-    return joined.mapInArrow(run, schema("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))
+    return joined.mapInArrow(trimming(run), schema("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"))
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, put, schema, texts_of
+from .common import documents, put, schema, texts_of, trimming, turn
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: In the order in which spans are listed; secret is the field's alone.
@@ -342,13 +342,14 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("pii_crf")
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
             found = find_spans([t.decode("utf-8", "replace") for t in texts_of(batch.column(1))], field)
             yield put(batch, ["doc_id"], found=pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in found], kind))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, schema("doc_id long, found array<struct<kind:string,start:int,end:int,base:boolean>>"))
+    return docs.mapInArrow(trimming(run), schema("doc_id long, found array<struct<kind:string,start:int,end:int,base:boolean>>"))
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -356,13 +357,14 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field, at = field or default_field(), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("pii_crf")
         for batch in batches:
             column = batch.column(at)
             texts = [t.decode("utf-8", "replace") for t in texts_of(column)]
             new = [None if null else redact(t, s) for t, s, null in zip(texts, find_spans(texts, field), column.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, column.type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimming(run), docs.schema)
 
 
 def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:

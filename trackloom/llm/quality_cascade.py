@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, put, schema, texts_of
+from .common import documents, put, schema, texts_of, trimming, turn
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -124,6 +124,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality_cascade")
         spent, rejected, n = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
             for data in texts_of(batch.column(0)):
@@ -134,7 +135,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"k": list(range(len(rules))), "s": spent, "r": rejected, "n": [n] * len(rules)})
 
-    rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").limit(sample_rows).mapInArrow(run, schema("k long, s double, r long, n long")).groupBy("k").agg(F.sum("s").alias("s"), F.sum("r").alias("r"), F.sum("n").alias("n")).collect()
+    rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").limit(sample_rows).mapInArrow(trimming(run), schema("k long, s double, r long, n long")).groupBy("k").agg(F.sum("s").alias("s"), F.sum("r").alias("r"), F.sum("n").alias("n")).collect()
     of = {r["k"]: (r["s"] / r["n"], r["r"] / r["n"]) for r in rows if r["n"]}
     return [(rule.name, *of.get(k, (1.0, 1.0))) for k, rule in enumerate(rules)]
 
@@ -160,6 +161,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1
     base, more = [r for r in rules if r.base], tuple(r for r in cascade if not r.base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality_cascade")
         for batch in batches:
             counts: dict[str, list] = {c: [] for c in BASE}
             failed, kept = [], []
@@ -170,7 +172,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1
                 kept.append(not failed[-1] and first_rejection(text, more) is None)
             yield put(batch, ["doc_id"], **{c: pa.array(v, pa.int64()) for c, v in counts.items()}, base_failed=pa.array(failed, pa.bool_()), kept=pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, schema("doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean"))
+    return docs.mapInArrow(trimming(run), schema("doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean"))
 
 
 def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
@@ -179,10 +181,11 @@ def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("quality_cascade")
         for batch in batches:
             yield batch.filter(pa.array([first_rejection(Text(t), cascade) is None for t in texts_of(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimming(run), docs.schema)
 
 
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

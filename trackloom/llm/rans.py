@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, schema, shared_dir, stored
+from .common import documents, parallelism, schema, shared_dir, stored, trimming
 from .encoding import default_path, tokens, width
 
 MAGIC, LANES, STEPS = b"RANS1\0\0\0", 32, 512
@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int | None = 2,
             before = int(ends[-1]) if len(ends) else before
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - sizes), batch.column(2), batch.column(3)], ["part", "doc_id", "before", "n_tokens", "ids"])
 
-    coded = stored(dealt.mapInArrow(numbered, schema("part int, doc_id long, before long, n_tokens long, ids binary")), "ids", "zstd")
+    coded = stored(dealt.mapInArrow(trimming(numbered), schema("part int, doc_id long, before long, n_tokens long, ids binary")), "ids", "zstd")
     sizes = {r["part"]: r["n"] for r in coded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     base = {p: sum(v for q, v in sizes.items() if q < p) for p in sizes}
     table = Table.of_counts(counted(coded, width(path)))
@@ -254,7 +254,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end: int | None = 2,
             yield done()
 
     to = to or f"{shared_dir(spark)}/trackloom/tokens-{uuid.uuid4().hex}"
-    coded.mapInArrow(run, schema("part int, first long, block binary")).write.option("compression", "none").parquet(to)
+    coded.mapInArrow(trimming(run), schema("part int, first long, block binary")).write.option("compression", "none").parquet(to)
     spark.createDataFrame([(-1, 0, table.to_bytes())], "part int, first long, block binary").coalesce(1).write.mode("append").option("compression", "none").parquet(to)
     return to
 
@@ -272,7 +272,7 @@ def counted(coded: DataFrame, dtype: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    rows = coded.select("ids").mapInArrow(run, schema("id long, n long")).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("ids").mapInArrow(trimming(run), schema("id long, n long")).groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -299,7 +299,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         first += len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.where("part >= 0").select("block").mapInArrow(run, schema("doc_id long, start long, n_tokens long, ids binary"))
+    return files.where("part >= 0").select("block").mapInArrow(trimming(run), schema("doc_id long, start long, n_tokens long, ids binary"))
 
 
 def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

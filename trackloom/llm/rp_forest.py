@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configured, parallelism, schema, stored
+from .common import configured, parallelism, schema, stored, trimming
 from .components import components
 
 COSINE, TREES, SPILL, LEAF, SAMPLE = 0.98, 6, 0.05, 1000, 20_000
@@ -190,7 +190,7 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
             yield pa.RecordBatch.from_arrays([*take.columns, pa.array(out[1], pa.int64()), pa.array([own[i] for i in out[0]], pa.list_(pa.int64()))], [*take.schema.names, "leaf", "leaves"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    routed = classes.select("class", "label", "embedding", "n").mapInArrow(route, schema(f"class long, label {classes.schema['label'].dataType.simpleString()}, embedding {kind}, n long, leaf long, leaves array<long>"))
+    routed = classes.select("class", "label", "embedding", "n").mapInArrow(trimming(route), schema(f"class long, label {classes.schema['label'].dataType.simpleString()}, embedding {kind}, n long, leaf long, leaves array<long>"))
 
     def meet(t: pa.Table) -> pa.Table:
         vectors = [np.array(v, np.float64) for v in t["embedding"].to_pylist()]

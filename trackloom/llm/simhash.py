@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, put, schema, stored, texts_of
+from .common import documents, parallelism, put, schema, stored, texts_of, trimming, turn
 from .components import Forest, components
 
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -68,11 +68,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row of docs. Text null is empty; the fingerprint of no words is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("simhash")
         for batch in batches:
             yield put(batch, ["doc_id"], fp=pa.array(fingerprints_of(texts_of(batch.column(1))).view(np.int64)))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, schema("doc_id long, fp long"))
+    return docs.mapInArrow(trimming(run), schema("doc_id long, fp long"))
 
 
 def embedded(fp: Column) -> Column:
@@ -144,6 +145,7 @@ def links(classes: DataFrame, small: int = 32) -> DataFrame:
     cells = cells.repartition(n, "grid", "cell").sortWithinPartitions("grid", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("simhash")
         rest = np.zeros((3, 0), np.int64)
         for batch in _ending(batches):
             new = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]) if batch is not None else np.zeros((3, 0), np.int64)
@@ -156,7 +158,7 @@ def links(classes: DataFrame, small: int = 32) -> DataFrame:
             if len(pairs):
                 yield pa.RecordBatch.from_pydict({"a": rows[0][pairs[:, 0]], "b": rows[0][pairs[:, 1]]})
 
-    return cells.select("fp", "grid", "cell").mapInArrow(run, schema("a long, b long"))
+    return cells.select("fp", "grid", "cell").mapInArrow(trimming(run), schema("a long, b long"))
 
 
 def _ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

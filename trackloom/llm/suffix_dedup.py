@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated
-from .common import documents, keyed, parallelism, schema, stored, texts_of
+from .common import documents, keyed, parallelism, schema, stored, texts_of, trimming, turn
 
 WINDOW, GRAM, FINE = 100, 32, 64
 #: Window starts of a segment at most; segments and bytes that a task gathers before it goes on.
@@ -131,6 +131,7 @@ def common_keys(docs: DataFrame) -> np.ndarray:
     docs = docs.where(F.pmod(F.xxhash64("_k"), F.lit(SAMPLE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix_dedup")
         total = 0
         for key, h, *_ in _found(batches, np.zeros(0, np.uint64)):
             total += len(key)
@@ -138,7 +139,7 @@ def common_keys(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
-    counts = stored(docs.mapInArrow(run, schema("key long, n long")).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= SPLIT // SAMPLE)), "keys")
+    counts = stored(docs.mapInArrow(trimming(run), schema("key long, n long")).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= SPLIT // SAMPLE)), "keys")
     total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("key").isNotNull() & (F.col("n") >= max(SPLIT // SAMPLE, total // MOST_SPLIT))).collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
@@ -149,6 +150,7 @@ def met(docs: DataFrame) -> DataFrame:
     split = common_keys(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix_dedup")
         for key, h, doc, lo, n in _found(batches, split):
             copy = ~_changes(key, h)
             # known to go: they meet nothing, so they are dealt evenly
@@ -157,7 +159,7 @@ def met(docs: DataFrame) -> DataFrame:
                 p = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(key[p].view(np.int64)), pa.array(h[p].view(np.int64)), pa.array(doc[p]), pa.array(lo[p]), pa.array(np.where(copy[p], -n[p], n[p]).astype(np.int32))], ["key", "h", "_k", "lo", "n"])
 
-    rows = docs.mapInArrow(send, schema("key long, h long, _k long, lo long, n int"))
+    rows = docs.mapInArrow(trimming(send), schema("key long, h long, _k long, lo long, n int"))
     rows = rows.repartition(parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "h", "_k", "lo")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,7 @@ def met(docs: DataFrame) -> DataFrame:
         if waiting:
             yield settled(True)
 
-    return stored(rows.mapInArrow(meet, schema("gone boolean, key long, _k long, lo long, n int")), "segments")
+    return stored(rows.mapInArrow(trimming(meet), schema("gone boolean, key long, _k long, lo long, n int")), "segments")
 
 
 def narrowed(keys: np.ndarray, lo: np.ndarray, own: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -240,6 +242,7 @@ def removed(docs: DataFrame) -> DataFrame:
     wanted = segs.where("not gone").groupBy(F.col("_k").alias("of_k")).agg(F.collect_list(F.struct("key", "lo", "n")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix_dedup")
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, text, parts in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
@@ -248,9 +251,10 @@ def removed(docs: DataFrame) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.bool_()), pa.array(rows[4], pa.binary())], ["key", "_k", "lo", "own", "data"])
 
-    bytes_of = dealt.join(wanted.hint("shuffle_hash"), F.col("_k") == F.col("of_k")).select("_k", "text", "parts").mapInArrow(cut, schema("key long, _k long, lo long, own boolean, data binary"))
+    bytes_of = dealt.join(wanted.hint("shuffle_hash"), F.col("_k") == F.col("of_k")).select("_k", "text", "parts").mapInArrow(trimming(cut), schema("key long, _k long, lo long, own boolean, data binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix_dedup")
         key, doc, lo, own = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
         data: list[bytes] = []
         size = 0
@@ -271,11 +275,12 @@ def removed(docs: DataFrame) -> DataFrame:
         if data:
             yield done(len(data))
 
-    compared = bytes_of.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, schema("_k long, lo long, n int"))
+    compared = bytes_of.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimming(compare), schema("_k long, lo long, n int"))
     gone = segs.where("gone").select("_k", "lo", (F.col("n") % SELF).alias("n")).unionByName(compared)
     runs = gone.groupBy(F.col("_k").alias("of_k")).agg(F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("runs"))
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix_dedup")
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, less, spans, kept = [], [], [], []
@@ -295,17 +300,18 @@ def removed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(less, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["_k", "doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     joined = dealt.join(runs.hint("shuffle_hash"), F.col("_k") == F.col("of_k"), "left").select("_k", "doc_id", "text", "runs")
-    return joined.mapInArrow(without, schema("_k long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
+    return joined.mapInArrow(trimming(without), schema("_k long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"))
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id, kept_text of every row of docs: what stays, without the bytes of characters that were cut apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("suffix_dedup")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "kept_text"])
 
-    return removed(docs).select("doc_id", "kept").mapInArrow(run, schema("doc_id long, kept_text string"))
+    return removed(docs).select("doc_id", "kept").mapInArrow(trimming(run), schema("doc_id long, kept_text string"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

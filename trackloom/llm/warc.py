@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configured, schema, texts_of
+from .common import configured, schema, texts_of, trimming
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 4122
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -160,7 +160,7 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
             made = [response(u.decode("utf-8", "replace"), h, date).to_bytes() for u, h in zip(texts_of(batch.column(1)), texts_of(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["page_id", "warc"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema("page_id long, warc binary"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(trimming(run), schema("page_id long, warc binary"))
 
 
 def derived(records: DataFrame, key: str = "page_id") -> DataFrame:
@@ -185,7 +185,7 @@ def derived(records: DataFrame, key: str = "page_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], [key, "response_id", "target_uri", "payload_digest", "digest_ok", "metadata", "conversion"])
 
     kind = records.schema[key].dataType.simpleString()
-    return records.select(key, "warc").mapInArrow(run, schema(f"{key} {kind}, response_id string, target_uri string, payload_digest string, digest_ok boolean, metadata binary, conversion binary"))
+    return records.select(key, "warc").mapInArrow(trimming(run), schema(f"{key} {kind}, response_id string, target_uri string, payload_digest string, digest_ok boolean, metadata binary, conversion binary"))
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
