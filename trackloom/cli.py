@@ -58,7 +58,7 @@ def features_of(spots, cfg: Config):
     chosen = kin.selected(spots, cfg.track)
     k = kin.kinematics(chosen)
     threshold = kin.halt_threshold(k).first()[0] if cfg.track.auto_halt else cfg.track.halt_threshold_px * cfg.track.pixel_size / max(cfg.track.frame_interval, 1e-9)
-    t = met.joined([met.basic(k, cfg.track), met.angular(k, cfg.track), met.heading(k), met.turns(k), met.path(k), met.speed(k), met.intermittency(k, threshold)])
+    t = met.table(k, cfg.track, threshold)
     names = [c for c in t.columns if c != "uid"]
     who = chosen.groupBy(F.col("uid").alias("u")).agg(F.min("group").alias("group"), F.min("replicate").alias("replicate"))
     return t.join(who, F.col("uid") == F.col("u")).select(F.col("uid").alias("sample"), "group", "replicate", *[F.col(c).cast("double").alias(c) for c in names]), names

@@ -5,14 +5,12 @@ Permutations order rows by md5 of a seed and the row's id, so that any engine dr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, ratio
+from ..functions.columns import ratio
 
 
 # --- design ----------------------------------------------------------------------------------------------------------
@@ -287,12 +285,3 @@ def agreement(pairs: DataFrame) -> DataFrame:
     expected = F.col("cy") * F.col("cp") / two(n)
     return x.select((F.col("hit") / n).alias("accuracy"), "balanced_accuracy", ratio(F.col("hit") / n - F.col("e") / (n * n), 1 - F.col("e") / (n * n)).alias("kappa"), ratio(F.col("cj") - expected, (F.col("cy") + F.col("cp")) / 2 - expected).alias("ari"), ratio(2 * F.col("mi"), F.col("hy") + F.col("hp")).alias("nmi"), (F.col("top") / n).alias("purity"))
 
-
-def ranked_average(table: DataFrame, column: str) -> DataFrame:
-    return table.withColumn("rank", average_rank(F.col(column), []))
-
-
-def arrays(batches: Iterator[pa.RecordBatch], column: int) -> np.ndarray:
-    """A column of vectors as a matrix."""
-    rows = [x for b in batches for x in b.column(column).to_pylist()]
-    return np.array(rows, float)

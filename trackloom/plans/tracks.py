@@ -120,8 +120,8 @@ SQL["metric_table"] = "WITH " + ", ".join(f"q{i} AS ({SQL[n]})" for i, n in enum
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics that are aggregates, a row a track."""
     k = steps(spark, sf_dir)
-    t = met.joined([met.basic(k, CFG), met.angular(k, CFG), met.heading(k), met.turns(k), met.path(k), met.intermittency(k, HALT)])
-    return rounded(t.drop("net_displacement", "straightness", "tortuosity", "burstiness", "memory_coefficient", "mean_pause_duration"))
+    t = met.table(k, CFG, HALT)
+    return rounded(t.drop("net_displacement", "straightness", "tortuosity", "burstiness", "memory_coefficient", "mean_pause_duration", "speed_max", "speed_cv", "speed_skew", "accel_rms", "jerk_rms"))
 
 
 def _of(build, *columns: str, digits: dict[str, int] | None = None):
