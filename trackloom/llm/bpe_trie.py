@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHES, documents, put, schema, texts_of, trimming, turn, without_cycles
-from .encoding import byte_symbols, default_path
+from .encoding import byte_symbols, default_path, sliced
 
 END = "</w>"
+#: Bytes of text whose new words share a trie.
+TOGETHER = 2 << 20
 #: Unicode's White_Space, as the vocabulary's normalizer has it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -32,7 +34,7 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 class TrieBPE:
     """Encodes and decodes with a tokenizer file of byte-level BPE with word ends and dropped white space."""
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 200_000):
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         model = parts["model"]
@@ -111,6 +113,8 @@ class TrieBPE:
             node[word[-1] + 256] = word  # a leaf: no symbol follows that of a word's end
         out: dict[bytes, list[int]] = {}
         last, size = [-1], [0]  # of the prefixes along the path: the last token and its length
+        if len(self.steps) > 400_000:
+            self.steps.clear()
         ends, steps, fits = self.ends, self.steps, self.fits
         stack: list[tuple[int, int, int, object]] = [(1, 0, s, x) for s, x in root.items()]
         while stack:
@@ -123,7 +127,7 @@ class TrieBPE:
                 pair = (last[depth - n], t)
                 ok = fits.get(pair)
                 if ok is None:
-                    if len(fits) > 1_000_000:
+                    if len(fits) > 300_000:
                         fits.clear()
                     ok = fits[pair] = self._stays(*pair)
                 if ok:
@@ -216,8 +220,12 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         turn("trie")
         coder = trie_bpe(path)
         for batch in batches:
-            with without_cycles(keep=True):
-                ids, decoded = coder.encode(texts_of(batch.column(1)))
+            ids, decoded = [], []
+            for part in sliced(texts_of(batch.column(1)), TOGETHER):
+                with without_cycles(keep=True):
+                    new = coder.encode(part)
+                ids += new[0]
+                decoded += new[1]
             yield put(batch, ["doc_id"], ids=pa.array(ids, pa.binary()), decoded=pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
