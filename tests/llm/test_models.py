@@ -69,6 +69,21 @@ def test_near_vectors_of_odd_and_empty_tables(spark, vectors):
     assert rp_forest.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_copies_of_a_large_label_are_all_found(spark):
+    """Beyond LEAF: a dense group that a narrow spill would cut through, and copies of scattered vectors at the threshold."""
+    r = np.random.default_rng(8)
+    dense = r.normal(size=16) + r.normal(0, 0.11, (3500, 16))
+    far = np.repeat(r.normal(size=(1500, 16)), 2, 0)
+    far[1::2] += r.normal(0, 0.2, (1500, 16))
+    x = np.concatenate([dense, far]).astype(np.float32)
+    u = rp_forest.unit(x.astype(float))
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, v, 1, "z") for i, v in enumerate(x.tolist())], SCHEMA)
+    got = {q["vec_id"]: q["n_links"] for q in rp_forest.near_vectors(table).collect()}
+    assert [got[i] for i in range(len(x))] == linked.sum(1).tolist()
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__()

@@ -1,9 +1,12 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-A tree splits at a random direction's median and spills: what lies near the median goes to both sides. The trees are
-fitted on a sample of at most SAMPLE vectors; every vector is routed through all of them. Vectors that share a leaf and a
-label are compared exactly. Equal vectors are one class and compared once. Of a leaf only counts and a spanning forest of
-its links are passed on, never its pairs; a pair is counted in the first leaf that it shares.
+A tree splits at a random direction's median and spills: what lies near the median goes to both sides. How far follows from
+COSINE: a split parts a pair only if the direction parts it by more than the band, so that a pair at the threshold shares
+no leaf of any tree with probability LOSS at most, at any size. A node that the band keeps from getting smaller is a leaf.
+The trees are fitted on a sample of at most SAMPLE vectors; every vector is routed through all of them. Vectors that share
+a leaf and a label are compared exactly, those of a large leaf in blocks dealt to several tasks. Equal vectors are one
+class and compared once. Of a leaf only counts and a spanning forest of its links are passed on, never its pairs; a pair
+is counted in the first leaf that it shares.
 """
 
 from __future__ import annotations
@@ -16,135 +19,143 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.special import f_tail
 from .common import configured, parallelism, schema, stored, trimming
-from .components import components
-
-COSINE, TREES, SPILL, LEAF, SAMPLE = 0.98, 6, 0.05, 1000, 20_000
-#: A leaf of more vectors is split further by the task that has it.
+from .components import Forest, components
+
+COSINE, TREES, LEAF, SAMPLE = 0.98, 6, 1000, 20_000
+#: How likely a pair at the threshold may share no leaf of any tree.
+LOSS = 1e-9
+#: A split has to bring a node's pairs down to this share.
+WORTH = 0.8
+#: A leaf of more vectors is compared by blocks, a pair of them in a task.
 MOST = 3000
+#: Vectors compared at once.
+TILE = 1000
 
 
 @dataclass
 class Tree:
-    """Inner nodes in breadth-first order; node i has the children 2i+1 and 2i+2. A node with no direction (all zeros)
-    has infinite borders and sends all to the left."""
+    """Inner nodes, the root first; a child below zero is the leaf ~child."""
 
     directions: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    children: np.ndarray
 
     @classmethod
-    def fitted(cls, x: np.ndarray, depth: int, spill: float, rng: np.random.Generator) -> Tree:
-        n = (1 << depth) - 1
-        tree = cls(np.zeros((n, x.shape[1])), np.full(n, np.inf), np.full(n, np.inf))
-        members: dict[int, np.ndarray] = {0: np.arange(len(x))}
-        for i in range(n):
-            at = members.pop(i, np.zeros(0, int))
-            if len(at) < 8:
-                continue
-            d = rng.normal(size=x.shape[1])
-            p = x[at] @ (d := d / np.linalg.norm(d))
-            low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
-            if not p.min() < low <= high < p.max():
-                continue
-            tree.directions[i], tree.low[i], tree.high[i] = d, low, high
-            members[2 * i + 1], members[2 * i + 2] = at[p <= high], at[p >= low]
-        return tree
+    def fitted(cls, x: np.ndarray, labels: np.ndarray, each: float, depth: int, band: float, rng: np.random.Generator) -> Tree:
+        """labels: small numbers; each: how many vectors one of x stands for."""
+        directions, low, high, children, leaves = [], [], [], [], 0
+        todo = [(np.arange(len(x)), 0, -1, 0)]
+        while todo:
+            at, level, parent, side = todo.pop()
+            here = ~leaves
+            if level < depth and len(at) >= 8 and each * np.bincount(labels[at]).max() > LEAF:
+                d = rng.normal(size=x.shape[1])
+                p = x[at] @ (d := d / np.linalg.norm(d))
+                middle = np.median(p)
+                left, right = at[p <= middle + band / 2], at[p >= middle - band / 2]
+                if len(left) ** 2 + len(right) ** 2 <= WORTH * len(at) ** 2:
+                    here = len(low)
+                    directions.append(d)
+                    low.append(middle - band / 2)
+                    high.append(middle + band / 2)
+                    children.append([0, 0])
+                    todo += [(left, level + 1, here, 0), (right, level + 1, here, 1)]
+            leaves += here < 0
+            if parent >= 0:
+                children[parent][side] = here
+        return cls(np.array(directions).reshape(-1, x.shape[1]), np.array(low), np.array(high), np.array(children, np.int64).reshape(-1, 2))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf), a row in one leaf or in several."""
-        row, node, n = np.arange(len(x)), np.zeros(len(x), np.int64), len(self.low)
-        while len(node) and node[0] < n:
+        row, node = np.arange(len(x)), np.full(len(x), 0 if len(self.low) else -1, np.int64)
+        rows, found = [], []
+        while len(row):
+            inner = node >= 0
+            rows.append(row[~inner])
+            found.append(~node[~inner])
+            row, node = row[inner], node[inner]
             p = np.einsum("ij,ij->i", x[row], self.directions[node])
             left, right = p <= self.high[node], p >= self.low[node]
-            row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
-        return row, node - n
+            row, node = np.r_[row[left], row[right]], np.r_[self.children[node[left], 0], self.children[node[right], 1]]
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def links_of(x: np.ndarray, cosine: float = COSINE) -> np.ndarray:
-    """Which pairs of the rows (not zero) have at least this cosine; none links with itself."""
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    out = (x @ x.T) / (norm[:, None] * norm) >= cosine
-    np.fill_diagonal(out, False)
-    return out
-
+def band_of(d: int, depth: int, trees: int) -> float:
+    """The width within which a random direction leaves a pair at the threshold, but for a probability so small that
+    `trees` trees of `depth` splits part it with LOSS at most.
 
-def roots_of(linked: np.ndarray) -> np.ndarray:
-    """The smallest position that each position reaches."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label, len(linked)).min(1, initial=len(linked)))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def parts_of(x: np.ndarray, most: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Positions in parts of at most `most`, by trees over the leaf itself; all in one if they can't be split."""
-    if len(x) <= most:
-        yield np.arange(len(x))
-        return
-    u = unit(x)
-    for _ in range(TREES):
-        tree = Tree.fitted(u, 1, SPILL, rng)
-        row, side = tree.leaves(u)
-        if (side == 0).sum() in (0, len(row)):
-            yield np.arange(len(x))
-            return
-        for s in (0, 1):
-            at = row[side == s]
-            for part in parts_of(x[at], most, rng):
-                yield at[part]
-
-
-def compared(ids: np.ndarray, n: np.ndarray, x: np.ndarray, seen: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, links) of a leaf: links that span what is linked, and for each linked class (b: -1) how many vectors it links
-    with by pairs that share no earlier leaf. seen: each row's leaves, padded with -1."""
-    a, b, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    parts = list(parts_of(x, MOST, np.random.default_rng(leaf & 0xFFFF)))
-    known: np.ndarray | None = np.zeros((len(x), len(x)), bool) if len(parts) > 1 and len(x) <= 8 * MOST else None
-    pairs: list[np.ndarray] = []
-    for part in parts:
-        for i in range(0, len(part), MOST):
-            for j in range(i, len(part), MOST):
-                p, q = part[i : i + MOST], part[j : j + MOST]
-                both = p if i == j else np.r_[p, q]
-                linked = links_of(x[both])
-                if not linked.any():
-                    continue
-                root = roots_of(linked)
-                at = np.flatnonzero(root != np.arange(len(root)))
-                a.append(ids[both[at]])
-                b.append(ids[both[root[at]]])
-                w.append(np.zeros(len(at), np.int64))
-                if i != j:
-                    linked[: len(p), : len(p)] = linked[len(p) :, len(p) :] = False
-                r, c = np.nonzero(np.triu(linked))
-                r, c = both[r], both[c]
-                r, c = np.minimum(r, c), np.maximum(r, c)
-                if known is not None:
-                    new = ~known[r, c]
-                    r, c = r[new], c[new]
-                    known[r, c] = True
-                pairs.append(np.stack([r, c]))
-    if not pairs:
-        return a[0], b[0], w[0]
-    r, c = np.concatenate(pairs, 1)
-    if known is None and len(parts) > 1:
-        r, c = np.unique(np.stack([r, c]), axis=1)
-    total = np.zeros(len(x), np.int64)
-    for i in range(0, len(r), 100_000):
-        r_, c_ = r[i : i + 100_000], c[i : i + 100_000]
-        first = ~((seen[r_][:, :, None] == seen[c_][:, None, :]) & (seen[r_] >= 0)[:, :, None] & (seen[r_] < leaf)[:, :, None]).any((1, 2))
-        np.add.at(total, r_[first], n[c_[first]])
-        np.add.at(total, c_[first], n[r_[first]])
-    at = np.flatnonzero(total)
-    return np.concatenate([*a, ids[at]]), np.concatenate([*b, np.full(len(at), -1)]), np.concatenate([*w, total[at]])
+    The squared cosine of a random direction and the pair's difference follows Beta(1/2, (d - 1)/2).
+    """
+    far = (2 - 2 * COSINE) ** 0.5 + 1e-9
+    if d < 3:
+        return far
+    low, high, p = 0.0, 1.0, LOSS ** (1 / trees) / max(1, depth)
+    for _ in range(50):
+        t = (low + high) / 2
+        low, high = (t, high) if f_tail(t * t / (1 - t * t) * (d - 1), 1, d - 1) > p else (low, t)
+    return far * high
+
+
+def shared(a: np.ndarray, b: np.ndarray, leaf: int, linked: np.ndarray) -> np.ndarray:
+    """Which linked pairs share a leaf before this one. a, b: the rows' leaves, padded with -1."""
+    out = np.zeros(linked.shape, bool)
+    a, b = np.where(a < leaf, a, -1), np.where(b < leaf, b, -1)
+    if (a < 0).all() or (b < 0).all():
+        return out
+    if np.count_nonzero(linked) <= 10_000:
+        r, c = np.nonzero(linked)
+        out[r, c] = ((a[r][:, :, None] == b[c][:, None, :]) & (a[r] >= 0)[:, :, None]).any((1, 2))
+        return out
+    (a, of_a), (b, of_b) = np.unique(a, axis=0, return_inverse=True), np.unique(b, axis=0, return_inverse=True)
+    leaves = np.intersect1d(a, b)
+    leaves = leaves[leaves >= 0]
+    if not len(leaves):
+        return out
+    held = []
+    for x in (a, b):
+        at = np.minimum(np.searchsorted(leaves, x), len(leaves) - 1)
+        r, c = np.nonzero(leaves[at] == x)
+        m = np.zeros((len(x), len(leaves)), np.float32)
+        m[r, at[r, c]] = 1
+        held.append(m)
+    return (held[0] @ held[1].T > 0)[of_a.reshape(-1)][:, of_b.reshape(-1)]
+
+
+def compared(ids: np.ndarray, n: np.ndarray, x: np.ndarray, seen: np.ndarray, leaf: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, links) of the pairs of left and right, which are the same positions or have none in common: links that span
+    what is linked, and for each linked class (b: -1) how many vectors it links with by pairs that share no earlier leaf.
+    seen: each row's leaves, padded with -1."""
+    norm, same = np.sqrt(np.einsum("ij,ij->i", x, x)), left is right
+    forest, root, total = Forest(len(x)), np.arange(len(x)), np.zeros(len(x))
+    tied = [np.zeros((0, 2), np.int64)]
+    for i in range(0, len(left), TILE):
+        for j in range(i if same else 0, len(right), TILE):
+            p, q = left[i : i + TILE], right[j : j + TILE]
+            linked = (x[p] @ x[q].T) / (norm[p][:, None] * norm[q]) >= COSINE
+            once = same and i == j
+            if once:
+                np.fill_diagonal(linked, False)
+            if not linked.any():
+                continue
+            while (apart := linked & (root[p][:, None] != root[q])).any():
+                at = np.flatnonzero(apart.any(1))
+                tied.append(forest.join(np.stack([p[at], q[apart[at].argmax(1)]], 1)))
+                root = forest.parent
+                while (root[root] != root).any():
+                    root = root[root]
+            fresh = (linked & ~shared(seen[p], seen[q], leaf, linked)).astype(np.float64)
+            total[p] += fresh @ n[q]
+            if not once:
+                total[q] += n[p] @ fresh
+    pairs, at = np.concatenate(tied), np.flatnonzero(total)
+    return np.r_[ids[pairs[:, 0]], ids[at]], np.r_[ids[pairs[:, 1]], np.full(len(at), -1)], np.r_[np.zeros(len(pairs), np.int64), total[at].astype(np.int64)]
 
 
 def usable(embedding: Column, label: Column) -> Column:
@@ -167,8 +178,8 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     classes = rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "label", "embedding", "least", "n"), "classes")
     sizes = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
-    depth = max(0, int(np.ceil(np.log(max(1, (sizes["n"] or 0) / LEAF)) / -np.log(0.5 + SPILL))))
-    forests = fitted(classes, min(1.0, 1.2 * sample / max(1, sizes["all"] or 0)), sample, trees, depth, seed)
+    depth = int(np.ceil(np.log(sizes["all"] / LEAF) / -np.log((WORTH / 2) ** 0.5))) if (sizes["n"] or 0) > LEAF else 0
+    forests = fitted(classes, sizes["all"] or 0, sample, trees, depth, seed)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +190,7 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
                 u = unit(np.stack([vectors[i] for i in at]))
                 found = [tree.leaves(u) for tree in forests.get(d, [])] or [(np.arange(len(at)), np.zeros(len(at), np.int64))]
                 row = at[np.concatenate([r for r, _ in found])]
-                leaf = np.concatenate([(k << depth) + x for k, (_, x) in enumerate(found)])
+                leaf = np.concatenate([(k << 32) + x for k, (_, x) in enumerate(found)])
                 for i, x in zip(row.tolist(), leaf.tolist(), strict=True):
                     out[0].append(i)
                     out[1].append(x)
@@ -192,14 +203,28 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     kind = classes.schema["embedding"].dataType.simpleString()
     routed = classes.select("class", "label", "embedding", "n").mapInArrow(trimming(route), schema(f"class long, label {classes.schema['label'].dataType.simpleString()}, embedding {kind}, n long, leaf long, leaves array<long>"))
 
+    place = ["label", "leaf", "d"]
+    routed = routed.withColumn("d", F.size("embedding"))
+    if (sizes["n"] or 0) > MOST:
+        large = stored(routed.groupBy(*place).agg(F.count("*").alias("size")).where(F.col("size") > MOST).select(*place, F.ceil(F.col("size") / MOST).cast("int").alias("blocks")), "large")
+        routed = routed.join(large, place, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        routed = routed.withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        routed = routed.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+    routed = routed.select("class", "n", "embedding", "leaves", *place, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
     def meet(t: pa.Table) -> pa.Table:
-        vectors = [np.array(v, np.float64) for v in t["embedding"].to_pylist()]
+        vectors = t["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
         seen = t["leaves"].to_pylist()
         wide = max(map(len, seen))
-        got = compared(t["class"].to_numpy(), t["n"].to_numpy(), np.stack(vectors), np.array([x + [-1] * (wide - len(x)) for x in seen]), int(t["leaf"][0].as_py()))
+        own, i, j = t["own"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        got = compared(t["class"].to_numpy(), t["n"].to_numpy(), vectors, np.array([x + [-1] * (wide - len(x)) for x in seen]), int(t["leaf"][0].as_py()), left, right)
         return pa.table(dict(zip(("a", "b", "w"), got, strict=True)))
 
-    found = stored(routed.repartition(parallelism(spark), "label", "leaf", F.size("embedding")).groupBy("label", "leaf", F.size("embedding")).applyInArrow(meet, schema("a long, b long, w long")), "links")
+    by = [*place, "i", "j"]
+    found = stored(routed.repartition(parallelism(spark), *by).groupBy(*by).applyInArrow(meet, schema("a long, b long, w long")), "links")
     counts = found.where("b < 0").groupBy(F.col("a").alias("counted")).agg(F.sum("w").alias("w"))
     roots = components(found.where("b >= 0").select("a", "b"))
     named = roots.join(classes, F.col("node") == F.col("class")).groupBy("root").agg(F.min("least").alias("first")).join(roots, "root").select("node", "first")
@@ -210,13 +235,17 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("n_links") == 0))
 
 
-def fitted(classes: DataFrame, share: float, sample: int, trees: int, depth: int, seed: int) -> dict[int, list[Tree]]:
-    """The trees for each length of vector, from at most `sample` classes drawn by hash."""
-    drawn = classes.where(F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select("embedding").limit(sample).collect() if depth else []
+def fitted(classes: DataFrame, size: int, sample: int, trees: int, depth: int, seed: int) -> dict[int, list[Tree]]:
+    """The trees for each length of vector, from at most `sample` of the `size` classes, drawn by hash."""
+    if not depth:
+        return {}
+    share = min(1.0, 1.2 * sample / size)
+    drawn = classes.where(F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select("embedding", F.xxhash64("label").alias("label")).limit(sample).collect()
     out = {}
     for d in {len(r[0]) for r in drawn}:
         x = unit(np.array([r[0] for r in drawn if len(r[0]) == d], np.float64))
-        out[d] = [Tree.fitted(x, depth, SPILL, np.random.default_rng([seed, k])) for k in range(trees)]
+        labels = np.unique([r[1] for r in drawn if len(r[0]) == d], return_inverse=True)[1]
+        out[d] = [Tree.fitted(x, labels, size / len(drawn), depth, band_of(d, depth, trees), np.random.default_rng([seed, k])) for k in range(trees)]
     return out
 
 
