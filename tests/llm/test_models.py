@@ -187,6 +187,21 @@ def test_training_helps():
     assert gru.scores(better, shape, docs[:1])[0] > 0.2 * gru.scores(w, shape, docs[:1])[0]
 
 
+@pytest.mark.parametrize("sizes", [[20_000, *[300] * 40], [9000], [5, 2048, 2049, 1], [4100] * 70])
+def test_every_code_is_trained_once(sizes, monkeypatch):
+    shape, r = gru.Shape(words=8, classes=2, rest=3, hidden=4), np.random.default_rng(2)
+    docs, seen, plain = [r.integers(0, 11, n) for n in sizes], np.zeros(11, int), gru.gradients
+
+    def counting(w, shape, codes, begins, real, h):
+        np.add.at(seen, codes[real], 1)
+        return plain(w, shape, codes, begins, real, h)
+
+    monkeypatch.setattr(gru, "gradients", counting)
+    w = gru.trained(gru.initial(shape), shape, docs)
+    assert seen.tolist() == np.bincount(np.concatenate(docs), minlength=11).tolist()
+    assert all(np.isfinite(x).all() for x in w.values())
+
+
 def brute_scores(rows):
     words = {i: [*(t or "").encode().lower().split(), lm_scoring.END] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}

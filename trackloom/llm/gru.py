@@ -83,6 +83,19 @@ def laid(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.
     return codes, begins, of, length
 
 
+def pieces_of(docs: list[np.ndarray], lanes: int, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The documents, those longer than a mean lane in pieces, and how many codes at the beginning of each are read for
+    their state alone: a later piece begins with the codes before it. Each other code is in one piece."""
+    longest = max(-(-sum(map(len, docs)) // lanes), 32 * window)
+    out, ahead = [], []
+    for d in docs:
+        for a in range(0, len(d), longest):
+            begin = max(0, a - 2 * window)
+            out.append(d[begin : a + longest])
+            ahead.append(a - begin)
+    return out, np.array(ahead)
+
+
 def _steps(w: Weights, codes: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The states before each token of a window (t, lanes, hidden), and the one after it; keep: gets what gradients need."""
     n, state, bias = w["state"].shape[0], w["state"], w["bias"]
@@ -189,24 +202,27 @@ def gradients(w: Weights, shape: Shape, codes: np.ndarray, begins: np.ndarray, r
 
 
 def trained(w: Weights, shape: Shape, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 64, window: int = 32, passes: int = 1) -> Weights:
-    """The weights after Adam steps, one a window, over the documents' codes (not empty)."""
+    """The weights after Adam steps, one a window, over all of the documents' codes (not empty); a window of few codes makes
+    a small step."""
     w = {k: v.copy() for k, v in w.items()}
     if not docs:
         return w
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
-    codes, begins, _, length = laid(docs, lanes)
+    pieces, ahead = pieces_of(docs, lanes, window)
+    codes, begins, of, length = laid(pieces, lanes)
+    trains = np.arange(len(codes))[:, None] < length
+    for t, k in np.argwhere(begins & (ahead[of] > 0)).tolist():
+        trains[t : t + ahead[of[t, k]], k] = False
     step = 0
     for _ in range(passes):
         h = np.zeros((codes.shape[1], shape.hidden), np.float32)
         for t in range(0, len(codes), window):
             live = int((length > t).sum())
-            if t and 4 * live < codes.shape[1]:
-                break  # what is left of a few long lanes would make one-sided steps
-            c = codes[t : t + window, :live]
-            real = np.arange(t, t + len(c))[:, None] < length[:live]
+            c, real = codes[t : t + window, :live], trains[t : t + window, :live]
             g, h, _ = gradients(w, shape, c, begins[t : t + window, :live], real, h[:live])
             step += 1
-            scale = np.float32(rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
+            part = np.count_nonzero(real) / (codes.shape[1] * min(window, len(codes)))
+            scale = np.float32(part * rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
             for k, x in g.items():
                 m[k] += np.float32(0.1) * (x - m[k])
                 v[k] += np.float32(0.01) * (x * x - v[k])
