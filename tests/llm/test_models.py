@@ -222,6 +222,20 @@ def test_base_scores(docs, rows, block, monkeypatch):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0 and math.isfinite(r["score"])
 
 
+def test_every_training_document_is_trained(docs, monkeypatch):
+    taken, plain = [], lm_scoring.stored
+
+    def keeping(df, what, *more):
+        out = plain(df, what, *more)
+        if what == "weights":
+            taken.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(lm_scoring, "stored", keeping)
+    train = lm_scoring.scored(docs).first()["train_tokens"]
+    assert train and set(taken) == {train}
+
+
 def test_scores_of_odd_and_empty_tables(odd, nothing):
     assert lm_scoring.scored(odd).where("score < 0").count() == odd.count()
     assert lm_scoring.scored(nothing).count() == 0

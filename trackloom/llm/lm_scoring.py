@@ -4,8 +4,8 @@ The counts cover every training document. They are gathered by blocks: documents
 block sends each distinct word's hash and count once to the word's bucket, and the bucket answers each block with the
 totals. So no task and no broadcast holds the vocabulary, and a frequent word costs one row a block.
 
-The recurrent model's frequent words and its classes come from these totals. A task trains on whole training documents,
-one in SHARE by hash, beginning from weights fitted on FIRST documents; the tasks' weights are averaged by their tokens.
+The recurrent model's frequent words and its classes come from these totals. A task trains on its training documents, all
+of them, beginning from weights fitted on FIRST documents; the tasks' weights are averaged by their tokens.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import documents, parallelism, schema, stored, texts_of, trimming, turn
 
-BLOCK_BYTES, SHARE, FIRST = 16 << 20, 8, 300
+BLOCK_BYTES, SHARE, FIRST = 16 << 20, 1, 300
 #: Codes that a task trains on or scores together.
 TOGETHER = 400_000
 SHAPE = gru.Shape()
@@ -257,7 +257,8 @@ def scored(docs: DataFrame, share: int = SHARE, first: int = FIRST) -> DataFrame
 
     Text null is empty: its end alone is scored. A null doc_id is a training document; rows that repeat count as often as
     they are there. An empty table gives no rows; other columns are ignored. Words are told apart by 64-bit hashes.
-    score is the model's log10 probability of the whole text, with its state carried through.
+    score is the model's log10 probability of the whole text, with its state carried through. share: the recurrent model
+    trains on one training document in so many, all by default.
     """
     blocks = blocked(docs)
     answers = totals(blocks)
