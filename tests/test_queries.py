@@ -50,3 +50,30 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_map_queries_run_with_production_defaults(spark, monkeypatch):
+    import inspect
+
+    import numpy as np
+
+    from trackloom.config import SomConfig, StatsConfig
+    from trackloom.plans import maps
+
+    r, seen = np.random.default_rng(0), {}
+    monkeypatch.setattr(maps, "matrix", lambda s, d: (np.arange(30), r.normal(size=(30, 3)), np.arange(30) % 2))
+    for module, name in ((maps.pr, "tsne"), (maps.som, "trained"), (maps.cl, "classify")):
+
+        def spy(*a, plain=getattr(module, name), name=name, **k):
+            bound = inspect.signature(plain).bind(*a, **k)
+            bound.apply_defaults()
+            seen.setdefault(name, []).append(bound.arguments)
+            return plain(*a, **k)
+
+        monkeypatch.setattr(module, name, spy)
+    q = maps.queries()
+    for name in ("layout_tsne", "som_train_online", "som_train_growing", "classify_cv"):
+        assert q[name](spark, "").count() in (1, 30)
+    assert seen["tsne"][0]["steps"] == 400 and [a["cfg"].epochs for a in seen["trained"]] == [SomConfig().epochs] * 2
+    c, s = seen["classify"][0], StatsConfig()
+    assert (c["repeats"], c["permutations"], c["bootstrap"]) == (s.repeats, s.permutations, s.bootstrap)

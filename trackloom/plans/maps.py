@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SomConfig
+from ..config import SomConfig, StatsConfig
 from ..functions.special import f_tail
 from ..operators import classify as cl
 from ..operators import projection as pr
@@ -80,7 +80,7 @@ def _rnx(s: SparkSession, d: str) -> DataFrame:
 def _trained(kind: str):
     def query(s: SparkSession, d: str) -> DataFrame:
         ids, x, y = matrix(s, d)
-        m = som.trained(x, SomConfig(algorithm=kind, epochs=20 if kind in ("batch", "supervised", "relevance") else 3), y)
+        m = som.trained(x, SomConfig(algorithm=kind, epochs=20) if kind in ("batch", "supervised", "relevance") else SomConfig(algorithm=kind), y)
         node = som.two_nearest(x, m.codebook)[0]
         return s.createDataFrame([(int(i), int(n)) for i, n in zip(ids, node, strict=True)], "vec_id long, node int")
 
@@ -91,7 +91,7 @@ def _layout(name: str):
     def query(s: SparkSession, d: str) -> DataFrame:
         ids, x, y = matrix(s, d)
         if name == "tsne":
-            coords = pr.tsne(x, steps=100)
+            coords = pr.tsne(x)
         else:
             coords, _ = pr.layout(name, x, y)
         return s.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, coords, strict=True)], "vec_id long, axis1 double, axis2 double")
@@ -116,7 +116,8 @@ def _nodes(method: str):
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
     _, x, y = matrix(s, d)
-    c = cl.classify(x, y, k=5, repeats=2, permutations=19, bootstrap=200, spark=s)
+    cfg = StatsConfig()
+    c = cl.classify(x, y, k=cfg.folds, repeats=cfg.repeats, permutations=cfg.permutations, bootstrap=cfg.bootstrap, spark=s)
     return s.createDataFrame([(c.model, c.balanced_accuracy, c.low, c.high, c.accuracy, c.kappa, c.chance, c.p)], "model string, balanced_accuracy double, low double, high double, accuracy double, kappa double, chance double, p double")
 
 
