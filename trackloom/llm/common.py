@@ -6,8 +6,10 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,9 +39,12 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all runs in
+    one process. Raises on a cluster without the setting."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,14 +53,41 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    The files go when the driver's process ends.
+    The files go when the driver's process ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trackloom/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     atexit.register(_removed, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _STORED[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where stored tables are, by the identity of the DataFrame.
+_STORED: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table from stored() that nothing reads any more; other tables stay as they are."""
+    known, path = _STORED.pop(id(df), (lambda: None, ""))
+    if known() is df:
+        _removed(df.sparkSession, path)
+
+
+def of_classes(rows: DataFrame, classes: DataFrame, keys: dict[str, str], size: str = "n") -> DataFrame:
+    """rows with the columns of their class; keys: rows' columns and those of classes (no name in common), unique there.
+
+    size is how many rows a class has. A class of over a quarter of a partition's fair share goes to all tasks (there are
+    at most four times as many as partitions), so that its rows are not moved; the others meet by a shuffle.
+    """
+    width = parallelism(rows.sparkSession)
+    fair = max(1, rows.count() // (4 * width))
+    on = lambda right: [rows[a] == right[b] for a, b in keys.items()]
+    hot, others = F.broadcast(classes.where(F.col(size) > fair)), classes.where(F.col(size) <= fair)
+    rest = rows.join(hot.select(*keys.values()), on(hot), "left_anti")
+    return rows.join(hot, on(hot)).unionByName(rest.join(others, [rest[a] == others[b] for a, b in keys.items()]))
 
 
 def _removed(spark: SparkSession, path: str) -> None:
@@ -161,32 +193,12 @@ def without_cycles(keep: bool = False) -> Iterator[None]:
         gc.enable()
 
 
-def free_name(columns: list[str], name: str) -> str:
-    """name, with underscores before it until no column has it, in any case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
-def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with one more column, and its name: a unique long that ascends with doc_id (see keyed())."""
-    key = free_name(docs.columns, "row_key")
-    twice = docs.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if not twice:
-        return docs.withColumn(key, F.col("doc_id").cast("long")), key
-    n = parallelism(docs.sparkSession)
-    return stored(docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "keyed"), key
-
-
-def with_text(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with another text and, where there is such a column, its count of characters."""
-    docs = docs.withColumn("text", text)
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
-
-
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+def reuse_freed() -> None:
+    """For work on many arrays of some MB: freed memory stays with the process until trim(), where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
 
 
 def put(batch: pa.RecordBatch, keep: list[str], **columns: pa.Array) -> pa.RecordBatch:

@@ -208,7 +208,7 @@ def cut_at_space(parts: dict) -> bool:
     """Whether a tokenizer file drops white space, treats what it divides apart, and ends words between letters and others."""
     pre = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     kinds = {n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])}
-    added = [t["content"] for t in parts.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or len(t["content"].split()) != 1]
+    added = [t["content"] for t in parts.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["content"].isalpha() or len(t["content"].split()) != 1]
     split = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and (pre[0].get("pattern") or {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     return kinds <= {"NFC", "Replace", "Lowercase"} and split and not added and parts["model"].get("end_of_word_suffix") == "</w>"
 

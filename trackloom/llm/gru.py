@@ -50,13 +50,15 @@ def with_counts(w: Weights, shape: Shape, words: np.ndarray, rest: np.ndarray) -
     return w | {"word_bias": (np.log(by) - np.log(by.mean(1, keepdims=True))).astype(np.float32), "class_bias": np.log(total / total.mean()).astype(np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exp_logits(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x becomes its exponentials, in place; of each row: their sum, and the log probability of its target."""
+    if x.size and x.max() > 60:
+        x -= x.max(1, keepdims=True)
+    logp = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    np.subtract(logp, np.log(total), out=logp)
+    return total, logp
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[np.ndarray]:
@@ -96,53 +98,76 @@ def pieces_of(docs: list[np.ndarray], lanes: int, window: int) -> tuple[list[np.
     return out, np.array(ahead)
 
 
-def _steps(w: Weights, codes: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The states before each token of a window (t, lanes, hidden), and the one after it; keep: gets what gradients need."""
-    n, state, bias = w["state"].shape[0], w["state"], w["bias"]
-    before = np.empty((*codes.shape, n), np.float32)
-    inputs = w["input"][codes] + bias
-    fresh = begins.any(1)
+def _steps(w: Weights, codes: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """The states before each token of a window (hidden, t, lanes), the one after it (hidden, lanes), and what gradients
+    need: of each token the gates and the candidate, and the state's part of the candidate. h: (hidden, lanes)."""
+    n, half = w["state"].shape[0], h.dtype.type(0.5)
+    # the gates as (1 + tanh(x / 2)) / 2: halved here
+    scale = np.repeat([half, h.dtype.type(1)], [2 * n, n])
+    state = np.ascontiguousarray((w["state"] * scale).T)
+    before = np.empty((n, *codes.shape), h.dtype)
+    x = np.take(np.ascontiguousarray(((w["input"] + w["bias"]) * scale).T), codes, axis=1)  # (3 hidden, t, lanes)
+    parts = np.empty_like(before) if keep else None
+    fresh = begins.any(1).tolist()
     for t in range(len(codes)):
         if fresh[t]:
-            h = h * ~begins[t][:, None]
-        before[t] = h
-        g = h @ state
-        x = inputs[t]
-        zr = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        if keep is not None:
-            keep.append((z, r, c, g[:, 2 * n :]))
-        h = c + z * (h - c)
-    return before, h
+            h = h * ~begins[t]
+        before[:, t] = h
+        g = state @ h
+        zr, c, gc = x[: 2 * n, t], x[2 * n :, t], g[2 * n :]
+        zr += g[: 2 * n]
+        np.tanh(zr, out=zr)
+        zr *= half
+        zr += half
+        if keep:
+            parts[:, t] = gc
+        gc *= zr[n:]
+        c += gc
+        np.tanh(c, out=c)
+        h = h - c
+        h *= zr[:n]
+        h += c
+    return before, h, (x, parts) if keep else ()
+
+
+def _by_class(shape: Shape, which: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The frequent tokens' places in the order of their classes, and (class, begin, end) of each class in that order."""
+    order = np.flatnonzero(frequent)
+    order = order[np.argsort(which[order].astype(np.uint16), kind="stable")]
+    ends = np.searchsorted(which[order], np.arange(shape.classes + 1)).tolist()
+    return order, [(k, ends[k], ends[k + 1]) for k in range(shape.classes) if ends[k + 1] > ends[k]]
 
 
 def token_scores(w: Weights, shape: Shape, before: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Natural log probability of each token's class, and of the word within it for frequent words (n, hidden; n)."""
     which = shape.classes_of(codes)
-    out = _log_softmax(before @ w["class"] + w["class_bias"])[np.arange(len(codes)), which].astype(np.float64)
-    order = np.argsort(np.where(codes < shape.words, which, shape.classes).astype(np.uint16), kind="stable")
-    ends = np.searchsorted(np.where(codes < shape.words, which, shape.classes)[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            out[at] += _log_softmax(before[at] @ w["word"][k] + w["word_bias"][k])[np.arange(len(at)), codes[at] // shape.classes]
+    x = before @ w["class"]
+    x += w["class_bias"]
+    out = _exp_logits(x, which)[1].astype(np.float64)
+    order, runs = _by_class(shape, which, codes < shape.words)
+    states, targets = before[order], codes[order] // shape.classes
+    inside = np.empty(len(order))
+    for k, a, b in runs:
+        x = states[a:b] @ w["word"][k]
+        x += w["word_bias"][k]
+        inside[a:b] = _exp_logits(x, targets[a:b])[1]
+    out[order] += inside
     return out
 
 
-def scores(w: Weights, shape: Shape, docs: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
+def scores(w: Weights, shape: Shape, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
     """Natural log probability of each document's codes (not empty), the state carried through all of it."""
     out = np.zeros(len(docs))
     if not docs:
         return out
     codes, begins, of, length = laid(docs, lanes)
-    h = np.zeros((codes.shape[1], shape.hidden), np.float32)
+    h = np.zeros((shape.hidden, codes.shape[1]), np.float32)
     for t in range(0, len(codes), window):
         live = int((length > t).sum())
         c = codes[t : t + window, :live]
-        before, h = _steps(w, c, begins[t : t + window, :live], h[:live])
+        before, h, _ = _steps(w, c, begins[t : t + window, :live], h[:, :live])
         real = (np.arange(t, t + len(c))[:, None] < length[:live]).reshape(-1)
-        got = token_scores(w, shape, before.reshape(-1, shape.hidden)[real], c.reshape(-1)[real])
+        got = token_scores(w, shape, np.ascontiguousarray(before.reshape(shape.hidden, -1).T)[real], c.reshape(-1)[real])
         out += np.bincount(of[t : t + window, :live].reshape(-1)[real], got, len(docs))
     return out
 
@@ -151,57 +176,60 @@ def gradients(w: Weights, shape: Shape, codes: np.ndarray, begins: np.ndarray, r
     """Of the mean negative log probability of a window: its gradients, the state after it, and itself. Backpropagation
     ends at the window's beginning and at documents' beginnings."""
     n = shape.hidden
-    kept: list = []
-    before, last = _steps(w, codes, begins, h, kept)
-    flat, tokens, on = before.reshape(-1, n), codes.reshape(-1), real.reshape(-1)
+    before, last, (gates, gc) = _steps(w, codes, begins, h.T, True)
+    flat, tokens, on = np.ascontiguousarray(before.reshape(n, -1).T), codes.reshape(-1), real.reshape(-1)
     which, total = shape.classes_of(tokens), max(1, int(on.sum()))
-    logp = _log_softmax(flat @ w["class"] + w["class_bias"])
-    loss = -float(logp[np.arange(len(tokens)), which][on].sum())
-    d = np.exp(logp)
-    d[np.arange(len(tokens)), which] -= 1
-    d *= on[:, None] / np.float32(total)
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+    part = on * flat.dtype.type(1 / total)
+    d = flat @ w["class"]
+    d += w["class_bias"]
+    sums, logp = _exp_logits(d, which)
+    loss = -float(logp[on].sum())
+    d *= (part / sums)[:, None]
+    d[np.arange(len(tokens)), which] -= part
+    g = {k: np.zeros_like(v) for k, v in w.items() if k in ("word", "word_bias", "input")}
     g["class"], g["class_bias"] = flat.T @ d, d.sum(0)
     dh = d @ w["class"].T
-    frequent = on & (tokens < shape.words)
-    order = np.flatnonzero(frequent)
-    order = order[np.argsort(which[order].astype(np.uint16), kind="stable")]
-    ends = np.searchsorted(which[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            x = flat[at]
-            lp = _log_softmax(x @ w["word"][k] + w["word_bias"][k])
-            target = tokens[at] // shape.classes
-            loss -= float(lp[np.arange(len(at)), target].sum())
-            e = np.exp(lp)
-            e[np.arange(len(at)), target] -= 1
-            e /= np.float32(total)
-            g["word"][k], g["word_bias"][k] = x.T @ e, e.sum(0)
-            dh[at] += e @ w["word"][k].T
-    dh = dh.reshape(before.shape)
-    gx = np.empty((*codes.shape, 3 * n), np.float32)
-    carried = np.zeros_like(before[0])
+    order, runs = _by_class(shape, which, on & (tokens < shape.words))
+    states, targets, back = flat[order], tokens[order] // shape.classes, np.empty((len(order), n), flat.dtype)
+    for k, a, b in runs:
+        x, target = states[a:b], targets[a:b]
+        e = x @ w["word"][k]
+        e += w["word_bias"][k]
+        sums, logp = _exp_logits(e, target)
+        loss -= float(logp.sum())
+        e *= (flat.dtype.type(1 / total) / sums)[:, None]
+        e[np.arange(b - a), target] -= flat.dtype.type(1 / total)
+        g["word"][k], g["word_bias"][k] = x.T @ e, e.sum(0)
+        np.matmul(e, w["word"][k].T, out=back[a:b])
+    dh[order] += back
+    dh = np.ascontiguousarray(dh.T).reshape(before.shape)
+    # what the gradient of the state after a token is multiplied by
+    z, r, c = gates[:n], gates[n : 2 * n], gates[2 * n :]
+    into_c, into_z, into_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), gc * r * (1 - r)
+    gs, dc = np.empty_like(gates), np.empty_like(before)
+    carried, fresh = np.zeros_like(before[:, 0]), begins.any(1).tolist()
     for t in range(len(codes) - 1, -1, -1):
-        z, r, c, gc = kept[t]
-        # carried: the gradient of the state after token t
-        dc = carried * (1 - z) * (1 - c * c)
-        dz = carried * (before[t] - c) * z * (1 - z)
-        dr = dc * gc * r * (1 - r)
-        gx[t, :, :n], gx[t, :, n : 2 * n], gx[t, :, 2 * n :] = dz, dr, dc
-        gs = np.concatenate([dz, dr, dc * r], 1)
-        g["state"] += before[t].T @ gs
-        carried = (carried * z + gs @ w["state"].T + dh[t]) * ~begins[t][:, None]
-    flat_g = gx.reshape(-1, 3 * n)
+        own = np.multiply(carried, into_c[:, t], out=dc[:, t])
+        np.multiply(carried, into_z[:, t], out=gs[:n, t])
+        np.multiply(own, into_r[:, t], out=gs[n : 2 * n, t])
+        np.multiply(own, r[:, t], out=gs[2 * n :, t])
+        carried *= z[:, t]
+        carried += w["state"] @ gs[:, t]
+        carried += dh[:, t]
+        if fresh[t]:
+            carried *= ~begins[t]
+    g["state"] = flat.T @ gs.reshape(3 * n, -1).T
+    gs[2 * n :] = dc  # of the input: the candidate's part without the gate
+    gs = gs.reshape(3 * n, -1)
     by = np.argsort(tokens.astype(np.uint16), kind="stable")
     sorted_tokens = tokens[by]
     first = np.flatnonzero(np.r_[True, sorted_tokens[1:] != sorted_tokens[:-1]])
-    g["input"][sorted_tokens[first]] = np.add.reduceat(flat_g[by], first, axis=0)
-    g["bias"] = flat_g.sum(0)
-    return g, last, loss / total
+    g["input"][sorted_tokens[first]] = np.add.reduceat(np.take(gs, by, axis=1), first, axis=1).T
+    g["bias"] = gs.sum(1)
+    return g, last.T, loss / total
 
 
-def trained(w: Weights, shape: Shape, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 64, window: int = 32, passes: int = 1) -> Weights:
+def trained(w: Weights, shape: Shape, docs: list[np.ndarray], rate: float = 0.01, lanes: int = 256, window: int = 32, passes: int = 1) -> Weights:
     """The weights after Adam steps, one a window, over all of the documents' codes (not empty); a window of few codes makes
     a small step."""
     w = {k: v.copy() for k, v in w.items()}

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import documents, parallelism, schema, stored, texts_of, trimming, turn
+from .common import discard, documents, parallelism, reuse_freed, schema, stored, texts_of, trimming, turn
 
-BLOCK_BYTES, SHARE, FIRST = 16 << 20, 1, 300
+BLOCK_BYTES, SHARE, FIRST, RATE = 16 << 20, 1, 300, 0.02
 #: Codes that a task trains on or scores together.
-TOGETHER = 400_000
+TOGETHER = 1_000_000
+#: Blocks whose counts a bucket gathers, or that a task codes, on average: some 50 MB.
+BLOCKS = 4
 SHAPE = gru.Shape()
 #: The end of a document; no word holds a space.
 END = b" "
@@ -70,10 +72,16 @@ def blocked(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(trimming(run), schema("block long, doc_id long, held_out boolean, text string")), "blocks")
 
 
-def totals(blocks: DataFrame) -> DataFrame:
+def spread(blocks: DataFrame) -> int:
+    """Partitions by which the blocks' counts and texts are dealt: more where there are more blocks."""
+    return max(parallelism(blocks.sparkSession), -(-blocks.select("block").distinct().count() // BLOCKS))
+
+
+def totals(blocks: DataFrame, width: int) -> DataFrame:
     """(block, hashes, counts), stored: of each block, parts of its words' hashes with their counts in all training
-    documents. Rows of block -1 hold, of a bucket, its most frequent words; of block -2, by rest_class: words and tokens."""
-    buckets = parallelism(blocks.sparkSession)
+    documents. Rows of block -1 hold, of a bucket, its most frequent words; of block -2, by rest_class: words and tokens.
+    width: the shuffle's partitions; a bucket is part of one, so that a task's memory doesn't grow with the corpus."""
+    buckets = 2 * width
     borders = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +128,7 @@ def totals(blocks: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     sent = blocks.select("block", "held_out", "text").mapInArrow(trimming(send), schema("bucket int, block long, hashes binary, counts binary"))
-    return stored(sent.groupBy("bucket").applyInArrow(answer, schema("block long, hashes binary, counts binary")), "totals", "zstd")
+    return stored(sent.repartition(width, "bucket").groupBy("bucket").applyInArrow(answer, schema("block long, hashes binary, counts binary")), "totals", "zstd")
 
 
 class Vocabulary:
@@ -176,8 +184,9 @@ class Vocabulary:
         return gru.with_counts(gru.initial(SHAPE), SHAPE, words, self.rest_tokens)
 
 
-def coded(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, rest_score, codes), stored, of every document."""
+def coded(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary, width: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, rest_score, codes), stored, of every document; a block and its
+    counts meet in one task."""
     each = np.log10(vocabulary.tokens + 0.1 * (vocabulary.distinct + 1))
 
     def run(docs: pa.Table, totals_: pa.Table) -> pa.Table:
@@ -199,7 +208,7 @@ def coded(blocks: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> Data
             "base_score": pa.array(base, pa.float64()), "rest_score": pa.array([float(share[x].sum()) for x in ids], pa.float64()), "codes": pa.array([code[x].astype("<u2").tobytes() for x in ids], pa.binary()),
         })
 
-    both = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    both = blocks.repartition(width, "block").groupBy("block").cogroup(answers.where("block >= 0").repartition(width, "block").groupBy("block"))
     return stored(both.applyInArrow(run, schema("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rest_score double, codes binary")), "codes", "zstd")
 
 
@@ -225,6 +234,7 @@ def fitted(codes: DataFrame, vocabulary: Vocabulary, share: int = SHARE, first:
     def training(begin: gru.Weights, rate: float, passes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turn("lm_scoring")
+            reuse_freed()
             w, n = begin, 0
             for docs in chunks(batches):
                 w = gru.trained(w, SHAPE, docs, rate, passes=passes)
@@ -238,7 +248,7 @@ def fitted(codes: DataFrame, vocabulary: Vocabulary, share: int = SHARE, first:
     drawn = data.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)) == 0).limit(first)
     begun = drawn.coalesce(1).mapInArrow(trimming(training(like, 0.02, 2)), kind).collect()
     begin = gru.from_bytes(begun[0]["w"], like) if begun else like
-    parts = stored(data.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(trimming(training(begin, 0.005, 1)), kind), "weights")
+    parts = stored(data.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(trimming(training(begin, RATE, 1)), kind), "weights")
 
     def mean(t: pa.Table) -> pa.Table:
         n = t["n"].to_numpy()
@@ -246,8 +256,9 @@ def fitted(codes: DataFrame, vocabulary: Vocabulary, share: int = SHARE, first:
         return pa.table({"part": pa.array([int(t["part"][0].as_py()) // 32], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())})
 
     while parts.count() > 1:  # 32 by 32, so that no task or driver holds them all
-        numbered = parts.select(F.col("part"), "n", "w")
-        parts = stored(numbered.groupBy(F.expr("part div 32").alias("group")).applyInArrow(mean, kind), "weights")
+        before = parts
+        parts = stored(parts.groupBy(F.expr("part div 32").alias("group")).applyInArrow(mean, kind), "weights")
+        discard(before)
     row = parts.first()
     return gru.from_bytes(row["w"], like) if row else begin
 
@@ -258,18 +269,21 @@ def scored(docs: DataFrame, share: int = SHARE, first: int = FIRST) -> DataFrame
     Text null is empty: its end alone is scored. A null doc_id is a training document; rows that repeat count as often as
     they are there. An empty table gives no rows; other columns are ignored. Words are told apart by 64-bit hashes.
     score is the model's log10 probability of the whole text, with its state carried through. share: the recurrent model
-    trains on one training document in so many, all by default.
+    trains on one training document in so many, all by default. The weights are means over tasks, so that score (alone)
+    depends somewhat on how the table's files are dealt to tasks; the same files and settings give the same scores.
     """
     blocks = blocked(docs)
-    answers = totals(blocks)
+    width = spread(blocks)
+    answers = totals(blocks, width)
     vocabulary = Vocabulary(answers)
-    codes = coded(blocks, answers, vocabulary)
+    codes = coded(blocks, answers, vocabulary, width)
     weights = fitted(codes, vocabulary, share, first)
     train = vocabulary.tokens
     keep = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "rest_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn("lm_scoring")
+        reuse_freed()
         for batch in batches:
             ends = np.cumsum(batch.column(2).to_numpy())
             begin = 0

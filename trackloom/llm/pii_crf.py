@@ -7,10 +7,12 @@ batches. What it finds is added where it is plausible for its kind and overlaps
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +64,7 @@ def plausible(kind: str, s: str) -> bool:
     digits = _DIGITS.sub("", s)
     if kind == "ip":
         parts = s.split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -91,9 +93,12 @@ def _bucket(n: int) -> str:
     return next(str(b) for b in (0, 1, 2, 4, 8, 12, 19, 39, 10**9) if n <= b)
 
 
-@functools.lru_cache(100_000)
 def attributes(word: str) -> tuple[str, ...]:
-    """Word-shape features."""
+    """Word-shape features; those of words of up to 100 characters are remembered."""
+    return _remembered(word) if len(word) <= 100 else _attributes(word)
+
+
+def _attributes(word: str) -> tuple[str, ...]:
     bare = word.strip(".,;:!?\"'()[]{}<>|*#$%&")
     if word.isalpha() or bare.isalpha():
         return ("cue:" + bare.lower(),) if bare.lower() in CUES else ("plain",)
@@ -103,6 +108,8 @@ def attributes(word: str) -> tuple[str, ...]:
     return (f"shape:{kinds[:24]}", f"digits:{_bucket(digits)}", f"length:{_bucket(len(bare))}", f"hex:{hexes}", f"at:{word.count('@')}", f"dots:{min(word.count('.'), 4)}", f"plus:{'+' in word}", f"paren:{word[:1] == '('}{word[-1:] == ')'}", f"dashes:{min(word.count('-'), 3)}", f"equals:{word == '='}", f"quoted:{word[:1] in ('\"', chr(39))}", f"mixed:{digits > 0 and any(map(str.isalpha, bare))}")
 
 
+_remembered = functools.lru_cache(100_000)(_attributes)
+
 Sentence = tuple[list[str], list[str]]
 
 
@@ -283,53 +290,92 @@ def default_field() -> Field:
     return Field().fit(labelled_table())
 
 
-def windows(text: str, reach: int = 6) -> Iterator[list[tuple[int, int]]]:
-    """Spans of the words within `reach` words of a word that has a digit, @, = or +; near ones join."""
+#: Words of a window that are decoded together.
+MOST = 2000
+
+
+def windows(text: str, reach: int = 6) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """(spans, begin, end): spans of the words within `reach` words of a word that has a digit, @, = or +; near ones join.
+
+    A long window comes in pieces of bounded length: a piece's own words are begin .. end - 1, the others its neighbours'.
+    """
     if not _NEAR.search(text):
         return
     before: list[tuple[int, int]] = []
-    left = 0  # words that the open window still takes
+    left = begin = 0  # left: words that the open window still takes
     open_: list[tuple[int, int]] = []
     for m in _WORD.finditer(text):
         span = m.span()
         if _NEAR.search(text, *span):
-            open_ = [*(open_ or before), span]
-            before, left = [], 2 * reach
+            if not open_:
+                open_, before = before, []
+            open_.append(span)
+            left = 2 * reach
         elif left:
             open_.append(span)
             left -= 1
             if not left:
-                yield open_[:-reach] if reach else open_
-                before, open_ = open_[-reach:], []
+                yield open_[:-reach], begin, len(open_) - reach
+                before, open_, begin = open_[-reach:], [], 0
         else:
             before = [*before[-reach + 1 :], span]
+        if len(open_) >= MOST:
+            yield open_, begin, len(open_) - reach
+            open_, begin = open_[-2 * reach :], reach
     if open_:
-        yield open_
+        yield open_, begin, len(open_)
 
 
 def find_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int, bool]]]:
     """Of each text: (kind, start, end, whether by a pattern), by kind and start. Code points, end exclusive."""
-    base = [base_spans(t) for t in texts]
-    where = [(k, w) for k, t in enumerate(texts) for w in windows(t)]
-    states = field.decode([[texts[k][a:b] for a, b in w] for k, w in where])
-    out = [[(*s, True) for s in found] for found in base]
-    taken = [sorted((a, b) for _, a, b in found) for found in base]
-    for (k, spans), path in zip(where, states, strict=True):
-        i = 0
-        while i < len(path):
-            j = i + 1
-            if path[i]:
-                kind = STATES[path[i]][2:]
-                while j < len(path) and STATES[path[j]] == f"I-{kind}":
-                    j += 1
-                text, start, end = texts[k], spans[i][0], spans[j - 1][1]
-                while start < end and text[start] in "\"'<[{|*#$%&,;:":
-                    start += 1
-                while end > start and text[end - 1] in "\"'>]}|*#$%&.,;:!?":
-                    end -= 1
-                if plausible(kind, text[start:end]) and not any(a < end and start < b for a, b in taken[k]):
-                    out[k].append((kind, start, end, False))
-            i = j
+    out: list[list[tuple[str, int, int, bool]]] = []
+    taken = []
+    for t in texts:
+        base = base_spans(t)
+        out.append([(*s, True) for s in base])
+        taken.append(sorted((a, b) for _, a, b in base))
+    waiting: list[tuple[int, list[tuple[int, int]], int, int]] = []
+    size = 0
+    reached = [0] * len(texts)  # where the field's last span of each text ends
+
+    def decoded() -> None:
+        states = field.decode([[texts[k][a:b] for a, b in w] for k, w, _, _ in waiting])
+        for (k, spans, begin, end), path in zip(waiting, states, strict=True):
+            i = 0
+            while i < len(path):
+                j = i + 1
+                if path[i]:
+                    kind = STATES[path[i]][2:]
+                    while j < len(path) and STATES[path[j]] == f"I-{kind}":
+                        j += 1
+                    if begin <= i < end:
+                        add(k, kind, spans[i][0], spans[j - 1][1])
+                i = j
+        waiting.clear()
+
+    def add(k: int, kind: str, start: int, end: int) -> None:
+        text = texts[k]
+        while start < end and text[start] in "\"'<[{|*#$%&,;:":
+            start += 1
+        while end > start and text[end - 1] in "\"'>]}|*#$%&.,;:!?":
+            end -= 1
+        if start < reached[k] or not plausible(kind, text[start:end]):
+            return
+        at = bisect.bisect_left(taken[k], (end,)) - 1  # of the patterns' spans that begin before the end
+        furthest = longest[k][at] if at >= 0 else 0
+        if furthest <= start:
+            out[k].append((kind, start, end, False))
+            reached[k] = end
+
+    longest = [list(accumulate((b for _, b in x), max)) for x in taken]
+    for k, t in enumerate(texts):
+        for w in windows(t):
+            waiting.append((k, *w))
+            size += len(w[0])
+            if size >= 100_000:
+                decoded()
+                size = 0
+    decoded()
     return [sorted(x, key=lambda s: (ORDER[s[0]], s[1])) for x in out]
 
 
@@ -353,7 +399,11 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets; of spans that overlap, the first counts."""
+    """docs with every span in text replaced by its kind in angle brackets; of spans that overlap, the first counts.
+
+    A null text stays null and an empty one empty; rows that repeat give the same; an empty table gives no rows. All other
+    columns stay as they are.
+    """
     field, at = field or default_field(), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import f_tail
-from .common import configured, parallelism, schema, stored, trimming
+from .common import configured, of_classes, parallelism, schema, stored, trimming
 from .components import Forest, components
 
 COSINE, TREES, LEAF, SAMPLE = 0.98, 6, 1000, 20_000
+#: A leaf holds at most LEAF vectors of a label, and in smaller tables the largest label's vectors by so many.
+SPLITS = 4
 #: How likely a pair at the threshold may share no leaf of any tree.
 LOSS = 1e-9
 #: A split has to bring a node's pairs down to this share.
@@ -44,14 +46,14 @@ class Tree:
     children: np.ndarray
 
     @classmethod
-    def fitted(cls, x: np.ndarray, labels: np.ndarray, each: float, depth: int, band: float, rng: np.random.Generator) -> Tree:
-        """labels: small numbers; each: how many vectors one of x stands for."""
+    def fitted(cls, x: np.ndarray, labels: np.ndarray, each: float, leaf: int, depth: int, band: float, rng: np.random.Generator) -> Tree:
+        """labels: small numbers; each: how many vectors one of x stands for; leaf: vectors of a label that need no split."""
         directions, low, high, children, leaves = [], [], [], [], 0
         todo = [(np.arange(len(x)), 0, -1, 0)]
         while todo:
             at, level, parent, side = todo.pop()
             here = ~leaves
-            if level < depth and len(at) >= 8 and each * np.bincount(labels[at]).max() > LEAF:
+            if level < depth and len(at) >= 8 and each * np.bincount(labels[at]).max() > leaf:
                 d = rng.normal(size=x.shape[1])
                 p = x[at] @ (d := d / np.linalg.norm(d))
                 middle = np.median(p)
@@ -178,8 +180,9 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     classes = rows.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "label", "embedding", "least", "n"), "classes")
     sizes = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
-    depth = int(np.ceil(np.log(sizes["all"] / LEAF) / -np.log((WORTH / 2) ** 0.5))) if (sizes["n"] or 0) > LEAF else 0
-    forests = fitted(classes, sizes["all"] or 0, sample, trees, depth, seed)
+    leaf = max(1, min(LEAF, (sizes["n"] or 0) // SPLITS))
+    depth = int(np.ceil(np.log(max(1, sizes["all"] or 0) / leaf) / -np.log((WORTH / 2) ** 0.5)))
+    forests = fitted(classes, sizes["all"] or 0, sample, trees, leaf, depth, seed)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,13 +232,13 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     roots = components(found.where("b >= 0").select("a", "b"))
     named = roots.join(classes, F.col("node") == F.col("class")).groupBy("root").agg(F.min("least").alias("first")).join(roots, "root").select("node", "first")
     of = classes.join(counts, F.col("class") == F.col("counted"), "left").join(named, F.col("class") == F.col("node"), "left")
-    of = of.select(F.col("label").alias("of_label"), F.col("embedding").alias("of_embedding"), (F.coalesce("w", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("first", "least").alias("component_id"))
-    linked = rows.where("ok").join(of, (F.col("label") == F.col("of_label")) & (F.col("embedding") == F.col("of_embedding"))).select("vec_id", "n_links", "component_id")
+    of = of.select(F.col("label").alias("of_label"), F.col("embedding").alias("of_embedding"), (F.coalesce("w", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("first", "least").alias("component_id"), "n")
+    linked = of_classes(rows.where("ok"), stored(of, "named"), {"label": "of_label", "embedding": "of_embedding"}).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("n_links") == 0))
 
 
-def fitted(classes: DataFrame, size: int, sample: int, trees: int, depth: int, seed: int) -> dict[int, list[Tree]]:
+def fitted(classes: DataFrame, size: int, sample: int, trees: int, leaf: int, depth: int, seed: int) -> dict[int, list[Tree]]:
     """The trees for each length of vector, from at most `sample` of the `size` classes, drawn by hash."""
     if not depth:
         return {}
@@ -245,7 +248,7 @@ def fitted(classes: DataFrame, size: int, sample: int, trees: int, depth: int, s
     for d in {len(r[0]) for r in drawn}:
         x = unit(np.array([r[0] for r in drawn if len(r[0]) == d], np.float64))
         labels = np.unique([r[1] for r in drawn if len(r[0]) == d], return_inverse=True)[1]
-        out[d] = [Tree.fitted(x, labels, size / len(drawn), depth, band_of(d, depth, trees), np.random.default_rng([seed, k])) for k in range(trees)]
+        out[d] = [Tree.fitted(x, labels, size / len(drawn), leaf, depth, band_of(d, depth, trees), np.random.default_rng([seed, k])) for k in range(trees)]
     return out
 
 

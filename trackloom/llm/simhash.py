@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parallelism, put, schema, stored, texts_of, trimming, turn
+from .common import documents, of_classes, parallelism, put, schema, stored, texts_of, trimming, turn
 from .components import Forest, components
 
 SEED, SHINGLE, BITS = 42, 3, 3
@@ -88,13 +88,14 @@ def _counts(x: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs differ in few bits: the Manhattan bound first (fields differ by 0, 1 or 2), then exactly."""
+    """Which pairs differ in few bits: the Manhattan distance of their counts first, then exactly."""
     a, b = np.broadcast_arrays(a, b)
     ca, cb = _counts(a), _counts(b)
-    high, low = np.uint64(0xAAAAAAAAAAAAAAAA), np.uint64(_FIELDS)
-    # of each field: whether it differs at all; that many is the least the distance can be
-    differ = ((ca ^ cb) | ((ca ^ cb) & high) >> np.uint64(1)) & low
-    ok = np.bitwise_count(differ) <= BITS
+    low, one = np.uint64(_FIELDS), np.uint64(1)
+    # fields of 0, 1 or 2: those that differ by one have an odd difference in the low bit, by two in the high bit alone
+    differ = ca ^ cb
+    odd = differ & low
+    ok = np.bitwise_count(odd) + 2 * np.bitwise_count(differ >> one & low & ~odd) <= BITS
     ok[ok] = np.bitwise_count(a[ok] ^ b[ok]) <= BITS
     return ok
 
@@ -194,12 +195,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component has no other, it is null. An empty table gives no rows; other columns are ignored.
     """
     fps = stored(fingerprints(docs), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(classes.select("fp")))
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("first"))
-    of = classes.join(roots.join(least, "root").select("node", "first"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("first", "least").alias("component_id"))
-    return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    of = classes.join(roots.join(least, "root").select("node", "first"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("first", "least").alias("component_id"), "n")
+    return of_classes(fps, stored(of, "classes"), {"fp": "of_fp"}).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
