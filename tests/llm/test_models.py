@@ -1,9 +1,12 @@
 """Embeddings, WARC derivatives, language-model scores and the pipeline against brute force."""
 
+import gzip
 import importlib.util
 import json
 import math
 import os
+import random
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -133,6 +136,60 @@ def test_derivatives(spark):
     assert text.block.decode() == warc.page_of(HTML).text
 
 
+def test_pages_with_open_elements_and_many_titles():
+    assert warc.page_of("<html><head><title>T</title><body><p>Body text here</p></body></html>").text == "Body text here"
+    assert warc.page_of("<head><style>p{}</style><p>no end of the head").text == "no end of the head"
+    assert warc.page_of("<title>never ends <p>x").title == "never ends <p>x"
+    for odd in ("<title " * 40_000, '<a ">"' * 40_000, "<title><b>" * 40_000, "<script " * 40_000):
+        begin = time.perf_counter()
+        warc.page_of(odd)
+        assert time.perf_counter() - begin < 2
+
+
+PLAIN = "<p>café Ελλάδα</p>"
+
+
+@pytest.mark.parametrize(
+    ("fields", "body", "want"),
+    [
+        ("Content-Type: text/html; charset=iso-8859-1", b"<p>caf\xe9</p>", "café"),
+        ("Content-Type: text/html", b'<meta charset="windows-1253"><p>\xc5\xeb</p>', "Ελ"),
+        ("Content-Type: text/html; charset=no-such-thing", PLAIN.encode(), "café Ελλάδα"),
+        ("Content-Type: text/html; charset=hex", PLAIN.encode(), "café Ελλάδα"),
+        ("Content-Type: text/html;\r\n charset=latin-1", b"<p>caf\xe9</p>", "café"),
+        ("Transfer-Encoding: chunked", b"5;x=1\r\n<p>hi\r\n3\r\n ho\r\n0\r\n\r\n", "hi ho"),
+        ("Transfer-Encoding: chunked", b"<p>undone before</p>", "undone before"),
+        ("Transfer-Encoding: chunked", b"5\r\n<p>hi\r\nzz\r\n", "hi"),
+        ("Content-Encoding: gzip", gzip.compress(PLAIN.encode()) + gzip.compress(b"<p>x"), "café Ελλάδα\nx"),
+        ("Content-Encoding: gzip", gzip.compress(random.Random(1).randbytes(9000).hex().encode())[:4000], None),
+        ("Content-Encoding: gzip", PLAIN.encode(), "café Ελλάδα"),
+        ("Content-Encoding: deflate", zlib.compress(PLAIN.encode()), "café Ελλάδα"),
+        ("Content-Encoding: deflate", zlib.compress(PLAIN.encode())[2:-4], "café Ελλάδα"),
+        ("Content-Encoding: br", b"\x8b\x01", ""),
+    ],
+)
+def test_payloads_are_decoded(fields, body, want):
+    record = warc.Record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\n" + fields.encode() + b"\r\n\r\n" + body)
+    got = warc.derivatives(record)[1].block.decode()
+    assert got == want if want is not None else len(got) > 1000
+
+
+def test_files_of_records_whole_packed_and_cut():
+    good = warc.response("u", b"<p>x</p>", "d").to_bytes()
+    assert [r.block for r in warc.read_records(gzip.compress(good) + gzip.compress(good))] == [next(warc.read_records(good)).block] * 2
+    assert len(list(warc.read_records(good + good[:-10]))) == 1 and not list(warc.read_records(good[:60]))
+    folded = good.replace(b"WARC-Target-URI: u", b"WARC-Target-URI: u\r\n\tv")
+    assert next(warc.read_records(folded)).get("WARC-Target-URI") == "u v"
+
+
+def test_odd_pages(spark):
+    """A null id, equal addresses with other pages, and a page of some MB."""
+    pages = [(None, "u", "<p>a"), (1, "u", "<p>b"), (2, "u", "<p>" + "long " * 600_000)]
+    got = warc.derived(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    assert len({r["response_id"] for r in got}) == 3 and {r["page_id"] for r in got} == {None, 1, 2}
+    assert max(len(r["conversion"]) for r in got) > 2_900_000
+
+
 def test_records_that_are_none_or_damaged(spark):
     good = warc.response("u", b"<p>x</p>", "d").to_bytes()
     wrong = good.replace(b"<p>x", b"<p>y")

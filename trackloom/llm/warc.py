@@ -13,6 +13,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,10 +28,11 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _LINK = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 #: Elements whose content is no text, and those that begin a new line. Fixed values of HTML.
-HIDDEN = frozenset("script style noscript template head".split())
+HIDDEN = frozenset("script style noscript template title".split())
 BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split())
 _CLOSING = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in HIDDEN}
-_TITLE = re.compile(r"<title[^>]*>([^<]*)", re.IGNORECASE)
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
 
 
 @dataclass
@@ -65,11 +67,66 @@ def record_id(*parts: str) -> str:
 
 
 def _fields(head: str) -> list[tuple[str, str]]:
+    """Named fields in order; a line that begins with white space goes on with the one before it."""
+    head = re.sub(r"\r\n[ \t]+", " ", head)
     return [(k.strip(), v.strip()) for line in head.split("\r\n") if ":" in line for k, v in [line.split(":", 1)]]
 
 
+def inflated(data: bytes, bits: int = 47) -> bytes:
+    """What the members of gzip or zlib data hold, up to where they are damaged."""
+    out = []
+    while data:
+        member = zlib.decompressobj(bits)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of chunked transfer coding; data that does not begin with a chunk is as it is, and a damaged body ends at
+    the damage."""
+    out, at = [], 0
+    while m := _CHUNK.match(data, at):
+        size = int(m[1], 16)
+        out.append(data[m.end() : m.end() + size])
+        at = m.end() + size
+        if not size:
+            break
+        at += 2 if data.startswith(b"\r\n", at) else data.startswith(b"\n", at)
+    return b"".join(out) if at else data
+
+
+def content_of(fields: list[tuple[str, str]], payload: bytes) -> str:
+    """A payload's text by its HTTP fields: transfer coding and gzip or deflate undone, decoded by the character set of
+    the fields, else of the first 1,024 bytes, else as UTF-8. Other content codings (br, zstd) give the empty text."""
+    named = {k.lower(): v for k, v in reversed(fields)}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    for coding in reversed([c.strip().lower() for c in named.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            payload = inflated(payload) if payload.startswith(b"\x1f\x8b") else payload  # some are stored undone
+        elif coding == "deflate":
+            payload = inflated(payload) or inflated(payload, -15)
+        elif coding not in ("", "identity"):
+            return ""
+    if payload.startswith(b"\xef\xbb\xbf"):
+        return payload[3:].decode("utf-8", "replace")
+    name = _CHARSET.search(named.get("content-type", "").encode()) or _CHARSET.search(payload, 0, 1024)
+    try:
+        return payload.decode(name[1].decode() if name else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
 def read_records(data: bytes) -> Iterator[Record]:
-    """The records of an uncompressed WARC file; ends at what is no record."""
+    """The records of a WARC file, plain or gzip; ends at what is no record and at one that is cut off."""
+    if data.startswith(b"\x1f\x8b"):
+        data = inflated(data)
     at = 0
     while data.startswith(b"WARC/", at):
         end = data.find(b"\r\n\r\n", at)
@@ -78,18 +135,24 @@ def read_records(data: bytes) -> Iterator[Record]:
         headers = _fields(data[at:end].decode("utf-8", "replace").split("\r\n", 1)[-1])
         record = Record(headers)
         size = record.get("Content-Length") or "0"
-        size = int(size) if size.isdigit() else 0
+        size = int(size) if size.isascii() and size.isdigit() else 0
+        if end + 4 + size > len(data):
+            return
         record.block = data[end + 4 : end + 4 + size]
         yield record
         at = end + 4 + size + 4
 
 
 def page_of(source: str) -> Page:
-    """Text, title and links of an HTML page, in one pass; tags that never end run to the end."""
+    """Text, title and links of an HTML page, in one pass.
+
+    Elements that never end run to the end of the page, but for the head, which has no text of its own. A tag whose quotes
+    never close ends at its first `>`, and so do all tags after it.
+    """
     out: list[str] = []
     links: list[str] = []
     i, n = 0, len(source)
-    title = _TITLE.search(source)
+    title, quoted = None, True
     while i < n:
         j = source.find("<", i)
         if j < 0:
@@ -109,7 +172,8 @@ def page_of(source: str) -> Page:
                 out.append("<")
                 i = j + 1
             continue
-        rest = _REST.match(source, m.end())
+        rest = _REST.match(source, m.end()) if quoted else None
+        quoted = rest is not None
         i = rest.end() if rest else n if (k := source.find(">", m.end())) < 0 else k + 1
         name = m[2].lower()
         if name in BLOCK:
@@ -118,9 +182,11 @@ def page_of(source: str) -> Page:
             links.append(html.unescape(h[1] or h[2] or h[3] or ""))
         if name in HIDDEN and not m[1]:
             closing = _CLOSING[name].search(source, i)
-            i = closing.start() if closing else n
+            begin, i = i, closing.start() if closing else n
+            if name == "title" and title is None:
+                title = source[begin:i]
     lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
-    return Page("\n".join(x for x in lines if x), " ".join(html.unescape(title[1]).split()) if title else "", links)
+    return Page("\n".join(x for x in lines if x), " ".join(html.unescape(title or "").split()), links)
 
 
 def response(url: str, source: bytes, date: str) -> Record:
@@ -133,27 +199,34 @@ def response(url: str, source: bytes, date: str) -> Record:
     )
 
 
-def derivatives(record: Record) -> tuple[Record, Record, Page] | None:
-    """The metadata and conversion records of a response and its page; None for records of other types."""
+def derivatives(record: Record) -> tuple[Record, Record, dict] | None:
+    """The metadata and conversion records of a response, and what the first one says; None for records of other types.
+
+    A stated payload digest may be that of the stored bytes or of those without transfer coding.
+    """
     if (record.get("WARC-Type") or "").lower() != "response":
         return None
     head, _, payload = record.block.partition(b"\r\n\r\n")
     status, _, rest = head.decode("utf-8", "replace").partition("\r\n")
-    page = page_of(payload.decode("utf-8", "replace"))
+    fields = _fields(rest)
+    page = page_of(content_of(fields, payload))
     own = record.get("WARC-Record-ID") or record_id("response", digest(record.block))
     common = [(k, v) for k in ("WARC-Date", "WARC-Target-URI") if (v := record.get(k)) is not None]
     computed = {"WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(record.block)}
     wrong = [k for k, v in computed.items() if record.get(k) not in (None, v)]
-    envelope = {"WARC-Header-Metadata": record.headers, "HTTP-Response-Metadata": {"Status": status, "Headers": _fields(rest)}, "Computed-Digests": computed, "Digest-Mismatch": wrong, "Title": page.title, "Links": page.links}
+    if "WARC-Payload-Digest" in wrong and any(k.lower() == "transfer-encoding" for k, _ in fields) and record.get("WARC-Payload-Digest") == digest(unchunked(payload)):
+        wrong.remove("WARC-Payload-Digest")
+    envelope = {"WARC-Header-Metadata": record.headers, "HTTP-Response-Metadata": {"Status": status, "Headers": fields}, "Computed-Digests": computed, "Digest-Mismatch": wrong, "Title": page.title, "Links": page.links}
 
     def made(kind: str, content: str, block: bytes) -> Record:
         return Record([("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, own)), *common, ("WARC-Refers-To", own), ("Content-Type", content), ("WARC-Block-Digest", digest(block))], block)
 
-    return made("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode()), made("conversion", "text/plain; charset=utf-8", page.text.encode()), page
+    return made("metadata", "application/json", json.dumps(envelope, ensure_ascii=False).encode()), made("conversion", "text/plain; charset=utf-8", page.text.encode()), envelope
 
 
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """page_id, warc (a response record's bytes) of every row (page_id, url, html); null url or html is empty."""
+    """page_id, warc (a response record's bytes) of every row (page_id, url, html); null url or html is empty, and page_id
+    may be null. Rows that repeat give equal records; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +250,8 @@ def derived(records: DataFrame, key: str = "page_id") -> DataFrame:
             for k, data in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 for record in read_records(data):
                     if (made := derivatives(record)) is not None:
-                        payload = record.block.partition(b"\r\n\r\n")[2]
-                        ok = record.get("WARC-Payload-Digest") in (None, digest(payload))
-                        for column, v in zip(rows, (k, made[0].get("WARC-Refers-To"), record.get("WARC-Target-URI"), digest(payload), ok, made[0].to_bytes(), made[1].to_bytes()), strict=True):
+                        computed, ok = made[2]["Computed-Digests"]["WARC-Payload-Digest"], "WARC-Payload-Digest" not in made[2]["Digest-Mismatch"]
+                        for column, v in zip(rows, (k, made[0].get("WARC-Refers-To"), record.get("WARC-Target-URI"), computed, ok, made[0].to_bytes(), made[1].to_bytes()), strict=True):
                             column.append(v)
             types = (batch.column(0).type, pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], [key, "response_id", "target_uri", "payload_digest", "digest_ok", "metadata", "conversion"])
