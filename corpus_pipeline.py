@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import packing, pii_crf, quality_cascade, simhash, suffix_dedup
-from trackloom.llm.common import configured, stored, with_key, with_text
+from trackloom.llm.common import configured, free_name, stored, with_key, with_text
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,23 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the passages that occur earlier; a text may become empty, and a null one stays null."""
     configured(spark)
     rows, key = with_key(docs)
-    found = suffix_dedup.texts(rows.select(F.col(key).alias("doc_id"), "text")).toDF(key, key + "_kept")
-    others = rows.withColumn(key + "_null", F.col("text").isNull()).drop("text")  # the old texts stay where they are
-    joined = others.join(found, key)
-    return with_text(joined, F.when(~F.col(key + "_null"), F.col(key + "_kept"))).select(*docs.columns)
+    kept = free_name(rows.columns, "kept_text")
+    null = free_name([*rows.columns, kept], "null_text")
+    found = suffix_dedup.texts(rows.select(F.col(key).alias("doc_id"), "text")).toDF(key, kept)
+    others = rows.withColumn(null, F.col("text").isNull()).drop("text")  # the old texts stay where they are
+    return with_text(others.join(found, key), F.when(~F.col(null), F.col(kept))).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their personal data replaced by its kind."""
+    """The documents with their personal data replaced by its kind; a null text stays null, an empty one empty, and rows
+    that repeat stay."""
     configured(spark)
     return with_text(pii_crf.redacted(docs), F.col("text")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place and checksum of every piece of the documents in sequences."""
+    """Place and checksum of every piece of the documents in sequences; a null or empty text is its end id, and each row
+    of a repeated id has pieces of its own."""
     configured(spark)
     return packing.digests(packing.packed(docs))
 
