@@ -341,3 +341,16 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, nothing):
         for _, stage in p.STAGES:
             table = stage(spark, table, "")
             table = spark.createDataFrame(table.collect(), table.schema)
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, rows):
+    names = ("row_key", "row_key_kept", "row_key_null", "kept_text", "null_text", "Kept_Text2", "component_id", "key")
+    data = [(i, t, *[f"{n}{i}" for n in names]) for i, t in rows[:14]] + [(None, rows[2][1] + " more", *names), (3, rows[4][1] + " again", *names)]
+    table = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in _pipeline().STAGES[:-1]:
+        before = table
+        table = stage(spark, table, "")
+        assert table.columns == before.columns, name
+        table = spark.createDataFrame(table.collect(), table.schema)
+    got = {tuple(r)[2:] for r in table.collect()}
+    assert got and got <= {x[2:] for x in data}
