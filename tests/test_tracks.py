@@ -130,3 +130,66 @@ def test_streaming_summary(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["uid"], r["n_spots"], r["extent_x"]) for r in spark.table("windows").collect()) == [("a", 2, 2.0), ("b", 1, 0.0)]
+
+
+@pytest.mark.parametrize(
+    ("stem", "want"),
+    [("tumor7", ("tumor7", "1")), ("spots_her2", ("her2", "1")), ("ctrl_3", ("ctrl", "3")), ("wt_batch_2", ("wt", "2")), ("spot_a-r04", ("a", "4")), ("a_rep 2", ("a", "2")), ("a 2", ("a 2", "1")), ("rep2", ("rep2", "1")), ("", ("1", "1"))],
+)
+def test_groups_in_names(stem, want):
+    assert tables.guessed(stem) == want
+
+
+def test_roles_of_columns():
+    role = tables.detected(["Track ID", "X [µm]", "Position Y", "Timepoint", "est_z", "Length", "Width", "movie", "Cluster", "Std_Intensity_Ch2", "x"]).role
+    assert role == {"track": "Track ID", "x": "X [µm]", "y": "Position Y", "t": "Timepoint", "z": "est_z", "major": "Length", "minor": "Width", "replicate": "movie", "group": "Cluster", "intensity_std": "Std_Intensity_Ch2"}
+    assert tables.detected(["my_track_no"]).role == {"track": "my_track_no"} and tables.detected(["ID"]).role == {}
+
+
+def test_lags_of_each_track(spark):
+    """Tracks of several lengths: each is fitted over its own lags, and eleven rows are too few."""
+    r = np.random.default_rng(5)
+    tracks = {f"n{n}": [(x, y, i) for i, (x, y) in enumerate(np.cumsum(r.normal(size=(n, 2)), 0).tolist())] for n in (11, 12, 40, 300)}
+    got = {x["uid"]: x for x in met.diffusion(steps(spark, **tracks)).collect()}
+    assert set(got) <= {"n12", "n40", "n300"} and {"n40", "n300"} <= set(got)
+    for uid, points in tracks.items():
+        if uid not in got:
+            continue
+        p = np.array(points)[:, :2]
+        lags = met.lags_of(len(p), 0.25)
+        msd = [((p[g:] - p[:-g]) ** 2).sum(1).mean() for g in lags]
+        slope, cut = np.polyfit(np.log(lags), np.log(msd), 1)
+        assert got[uid]["msd_alpha"] == pytest.approx(slope) and got[uid]["msd_D"] == pytest.approx(math.exp(cut) / 4)
+
+
+def test_every_metric_and_wanted_ones(spark):
+    rows = [("a", float(i), 0.1 * i * (i % 3), float(i), 4.0, 2.0, 45.0, 3.0, 1.0, 10.0 + i % 5) for i in range(40)]
+    spots = spark.createDataFrame(rows, "uid string, x double, y double, t double, major double, minor double, angle double, area double, intensity_mean double, intensity_std double")
+    k = kin.kinematics(kin.selected(spots, CFG))
+    t = met.everything(k, CFG, 1.0)
+    assert t.columns == ["uid", *met.METRICS] and t.count() == 1 and len(met.METRICS) == len(set(met.METRICS)) == 77
+    m = t.first()
+    heading = np.arctan2(np.diff([x[2] for x in rows]), np.diff([x[1] for x in rows]))
+    twice = 2 * (np.radians(45) - heading)
+    drift = np.degrees(np.abs((twice + np.pi) % (2 * np.pi) - np.pi)) / 2
+    assert m["avg_drift"] == pytest.approx(drift.mean()) and m["std_drift"] == pytest.approx(drift.std())
+    z = np.array([i % 5 for i in range(40)]) / 4
+    assert m["avg_estZ"] == pytest.approx(z.mean()) and m["std_estZ"] == pytest.approx(z.std())
+    assert m["speed_bodylengths"] == pytest.approx(m["avg_velocity"] / 4) and m["reynolds"] == pytest.approx(997 * m["avg_velocity"] * 4e-12 / 8.9e-4)
+    assert m["persistence_length"] is None or m["persistence_length"] == pytest.approx(m["dir_autocorr_time"] * m["avg_velocity"])
+    assert met.everything(k, CFG, 1.0, ["reynolds", "straightness"]).columns == ["uid", "reynolds", "straightness"]
+    bare = k.select("uid", *[c for c in k.columns if c not in ("uid", *met.SHAPE_FROM)])
+    few = met.everything(bare, CFG, 1.0)
+    assert not {"avg_Area", "reynolds"} & set(few.columns) and "strouhal" in few.columns
+    assert met.available(few.withColumn("none", F.lit(None).cast("double")), ["none", "n_spots"]) == ["n_spots"]
+    assert met.everything(k.limit(0), CFG, 1.0).count() == 0
+    with pytest.raises(ValueError):
+        met.everything(k, CFG, 1.0, ["no_such"])
+
+
+def test_smoothing_of_tracks(spark):
+    points = [("a", 3 + 2.0 * i - i * i, float(i % 2), float(i), "x") for i in range(30)] + [("b", 1.0, 2.0, 0.0, "x")]
+    spots = spark.createDataFrame(points, "uid string, x double, y double, t double, other string").repartition(3)
+    got = {(r["uid"], r["t"]): r for r in ta.smooth(spots, 7).collect()}
+    assert all(got[u, t]["x"] == pytest.approx(x) and got[u, t]["other"] == "x" for u, x, _, t, _ in points)
+    assert abs(got["a", 15.0]["y"] - 0.5) < 0.3 and got["b", 0.0]["y"] == 2 and ta.smooth(spots, 0) is spots

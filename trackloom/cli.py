@@ -1,4 +1,4 @@
-"""python -m trackloom.cli run FILES -o OUT [--config JSON] [--features-table] | metrics | methods"""
+"""python -m trackloom.cli run FILES -o OUT [--config JSON] [--features-table] [--metrics NAMES] | metrics | methods"""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from .config import Config
 from .operators import kinematics as kin
 from .operators import metrics as met
 from .operators import projection as pr
+from .operators import track_arrays
 from .sources import tables
 
-METRICS = ("basic", "angular", "heading", "turns", "path", "speed", "intermittency")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,11 +26,12 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("-o", "--out", required=True)
     run.add_argument("--config")
     run.add_argument("--features-table", action="store_true")
+    run.add_argument("--metrics", help="names, with commas between them; all if not given")
     sub.add_parser("metrics")
     sub.add_parser("methods")
     args = parser.parse_args(argv)
     if args.command != "run":
-        print("\n".join(METRICS if args.command == "metrics" else (*pr.METHODS, *pr.SUPERVISED, *pr.ELSEWHERE)))
+        print("\n".join(met.METRICS if args.command == "metrics" else (*pr.METHODS, *pr.SUPERVISED, *pr.ELSEWHERE)))
         return 0
     cfg = Config()
     if args.config:
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         names = [c for c, k in t.dtypes if k == "double" and c.lower() not in ("group", "replicate", "sample")]
         table = tables.features(t, names, role.get("sample"), role.get("group"), role.get("replicate"))
     else:
-        table, names = features_of(tables.read_spots(spark, paths), cfg)
+        table, names = features_of(tables.read_spots(spark, paths), cfg, f"{args.out}/tables/features", [m.strip() for m in args.metrics.split(",")] if args.metrics else None)
     result = analyse(table, names, cfg)
     for name, t in result.tables.items():
         tables.write_table(t, f"{args.out}/tables/{name}")
@@ -53,15 +54,19 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-def features_of(spots, cfg: Config):
-    """Metrics of each track as a feature table, and their names."""
+def features_of(spots, cfg: Config, path: str, wanted: list[str] | None = None):
+    """Metrics of each track as a feature table, written to path and read again, since all that follows reads it many
+    times; and the names of those that some track has. The speeds of all tracks, short ones too and before smoothing,
+    decide what a halt is."""
     chosen = kin.selected(spots, cfg.track)
-    k = kin.kinematics(chosen)
-    threshold = kin.halt_threshold(k).first()[0] if cfg.track.auto_halt else cfg.track.halt_threshold_px * cfg.track.pixel_size / max(cfg.track.frame_interval, 1e-9)
-    t = met.table(k, cfg.track, threshold)
+    k = kin.kinematics(track_arrays.smooth(chosen, cfg.track.smoothing_window))
+    threshold = kin.halt_threshold(kin.kinematics(kin.canonical(spots, cfg.track))).first()[0] if cfg.track.auto_halt else cfg.track.halt_threshold_px * cfg.track.pixel_size / max(cfg.track.frame_interval, 1e-9)
+    t = met.everything(k, cfg.track, threshold, wanted)
     names = [c for c in t.columns if c != "uid"]
     who = chosen.groupBy(F.col("uid").alias("u")).agg(F.min("group").alias("group"), F.min("replicate").alias("replicate"))
-    return t.join(who, F.col("uid") == F.col("u")).select(F.col("uid").alias("sample"), "group", "replicate", *[F.col(c).cast("double").alias(c) for c in names]), names
+    tables.write_table(t.join(who, F.col("uid") == F.col("u")).select(F.col("uid").alias("sample"), "group", "replicate", *[F.col(c).cast("double").alias(c) for c in names]), path)
+    t = spots.sparkSession.read.parquet(path)
+    return t, met.available(t, names)
 
 
 if __name__ == "__main__":

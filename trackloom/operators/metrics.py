@@ -8,8 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TrackConfig
-from ..functions.columns import central, circular_r, correlation, listed, mean_of, ratio, sd_of
+from ..functions.columns import central, circular_r, correlation, listed, mean_of, ratio, sd_of, wrapped
 from .kinematics import bouts
+from .track_arrays import COLUMNS as SERIES
+from .track_arrays import series_metrics
+
+#: Names of metrics by what computes them; those of table() first. Fixed values.
+TABLE = (
+    "n_spots duration accum_distance avg_velocity std_velocity avg_acce std_acce avg_angv std_angv avg_angacc std_angacc avg_meander std_meander mean_heading heading_R heading_circ_sd rayleigh_p turn_abs_mean turn_bias turn_kurtosis turn_entropy "
+    "net_displacement straightness tortuosity sinuosity fractal_dimension radius_gyration bbox_aspect avg_X avg_Y XYdispersion speed_max speed_cv speed_skew accel_rms jerk_rms "
+    "avg_haltT std_haltT fraction_moving stop_frequency mean_run_duration mean_pause_duration burstiness memory_coefficient"
+).split()
+DIFFUSION = ("msd_alpha", "msd_D", "msd_r2")
+SHAPE = "avg_Area std_Area avg_Major std_Major avg_Minor std_Minor avg_Intnsty std_Intnsty aspect_ratio aspect_ratio_cv avg_AngleP std_AngleP avg_drift std_drift avg_estZ std_estZ".split()
+#: Columns of detections that shape metrics come from, and metrics that come from others.
+SHAPE_FROM = ("area", "major", "minor", "angle", "intensity_mean", "intensity_std", "diameter")
+DERIVED = {"persistence_length": ("dir_autocorr_time",), "strouhal": ("beat_frequency", "lateral_amplitude"), "reynolds": ("avg_Major",), "speed_bodylengths": ("avg_Major",)}
+METRICS = (*TABLE, *DIFFUSION, *SERIES, *SHAPE, *DERIVED)
 
 TRIMMED = {"velocity": "speed", "acce": "accel", "angv": "ang_vel", "angacc": "ang_acc", "meander": "meander"}
 
@@ -165,18 +180,35 @@ def displacement(steps: DataFrame, lags: list[int]) -> DataFrame:
     return wide.select("uid", F.explode(at).alias("e")).groupBy("uid", F.col("e.lag").alias("lag")).agg(F.avg("e.d").alias("msd")).where("msd is not null")
 
 
-def diffusion(steps: DataFrame, lags: list[int]) -> DataFrame:
-    """msd_alpha, msd_D and msd_r2 of the line through the logarithms of lag time and displacement; four lags at least."""
+def own_displacement(steps: DataFrame, share: float) -> DataFrame:
+    """(uid, lag, msd) at each track's own lags: at most twenty, spaced by their logarithms, up to that share of its rows
+    (3 at least); tracks of twelve rows or more. One row a track goes through the shuffle, with its places in order."""
+    places = steps.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p")).withColumn("n", F.size("p")).where("n >= 12")
+    top = F.log10(F.greatest(F.lit(3), F.floor(F.col("n") * share)).cast("double"))
+    lags = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: F.rint(F.pow(F.lit(10.0), j / 19 * top)).cast("int")))
+
+    def msd(lag: Column) -> Column:
+        pairs = F.zip_with(F.slice("p", lag + 1, F.col("n") - lag), F.slice("p", F.lit(1), F.col("n") - lag), lambda a, b: F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))
+        return mean_of(pairs)
+
+    each = places.select("uid", F.explode(F.transform(F.filter(lags, lambda g: (g >= 1) & (g < F.col("n"))), lambda g: F.struct(g.alias("lag"), msd(g).alias("msd")))).alias("e"))
+    return each.select("uid", "e.lag", "e.msd")
+
+
+def diffusion(steps: DataFrame, lags: list[int] | None = None, share: float = 0.25) -> DataFrame:
+    """msd_alpha, msd_D and msd_r2 of the line through the logarithms of lag time and displacement; four lags at least.
+    The lags are the given ones, or each track's own (see own_displacement())."""
     dt = steps.groupBy(F.col("uid").alias("duid")).agg(F.percentile("dt", 0.5).alias("dt"), (F.count("dt") == F.count("*") - 1).alias("whole"))
-    d = displacement(steps, lags).where("msd > 0").join(dt.where("whole and dt > 0"), F.col("uid") == F.col("duid"))
+    d = (own_displacement(steps, share) if lags is None else displacement(steps, lags)).where("msd > 0").join(dt.where("whole and dt > 0"), F.col("uid") == F.col("duid"))
     lx, ly = F.log(F.col("lag") * F.col("dt")), F.log("msd")
     a = d.select("uid", lx.alias("lx"), ly.alias("ly")).groupBy("uid").agg(F.count("*").alias("n"), F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("cut"), F.regr_r2("ly", "lx").alias("r2"))
     return a.where("n >= 4").select("uid", F.col("slope").alias("msd_alpha"), (F.exp("cut") / 4).alias("msd_D"), F.col("r2").alias("msd_r2"))
 
 
 def morphology(spots: DataFrame, cfg: TrackConfig) -> DataFrame:
-    """Trimmed mean and deviation of area, axes and intensity; aspect ratio; axial statistics of the angle. Of the
-    columns that are there."""
+    """Trimmed mean and deviation of area, axes and intensity; aspect ratio; axial statistics of the angle; body length
+    (median major axis, else diameter); relative depth from the spread of the intensity; and, of kinematics() rows, the
+    drift between the body's axis and the step that follows. Of the columns that are there."""
     names = {"area": "Area", "major": "Major", "minor": "Minor", "intensity_mean": "Intnsty"}
     have = {k: v for k, v in names.items() if k in spots.columns}
     aggregates, out = [listed(F.col(k)).alias(f"_{v}") for k, v in have.items()], {}
@@ -192,12 +224,27 @@ def morphology(spots: DataFrame, cfg: TrackConfig) -> DataFrame:
         aggregates += [F.avg(F.sin(two)).alias("_s"), F.avg(F.cos(two)).alias("_c")]
         r = circular_r(F.col("_s"), F.col("_c"))
         out |= {"avg_AngleP": F.degrees(F.atan2("_s", "_c")) / 2, "std_AngleP": F.when(r > 0, F.degrees(F.sqrt(-2 * F.log(F.least(r, F.lit(1.0))))) / 2)}
+        if {"heading", "i"} <= set(spots.columns):
+            axis = F.lag("angle").over(Window.partitionBy("uid").orderBy("i"))
+            spots = spots.withColumn("_drift", F.degrees(F.abs(wrapped(2 * (F.radians(axis) - F.col("heading"))))) / 2)
+            aggregates += [F.when(F.count("heading") > 1, F.avg("_drift")).alias("_drift"), F.when(F.count("heading") > 1, F.stddev_pop("_drift")).alias("_drift_sd")]
+            out |= {"avg_drift": F.col("_drift"), "std_drift": F.col("_drift_sd")}
+    if "intensity_std" in spots.columns:
+        low, wide = F.min("intensity_std"), F.max("intensity_std") - F.min("intensity_std")
+        aggregates += [F.when(wide > 0, (F.avg("intensity_std") - low) / wide).alias("_z"), F.when(wide > 0, F.stddev_pop("intensity_std") / wide).alias("_z_sd")]
+        out |= {"avg_estZ": F.col("_z"), "std_estZ": F.col("_z_sd")}
+    lengths = [F.percentile(c, 0.5) for c in ("major", "diameter") if c in spots.columns]
+    if lengths:
+        aggregates.append(F.coalesce(*lengths).alias("_length"))
+        out["body_length"] = F.col("_length")
     return spots.groupBy("uid").agg(F.count("*").alias("_n"), *aggregates).select("uid", *[c.alias(k) for k, c in out.items()])
 
 
 def physics(table: DataFrame, cfg: TrackConfig) -> DataFrame:
-    """Adds strouhal, reynolds and speed_bodylengths where the columns that they need are there."""
-    metre = {"m": 1.0, "mm": 1e-3, "um": 1e-6, "nm": 1e-9}.get(cfg.length_unit, 1e-6)
+    """Adds persistence_length, strouhal, reynolds and speed_bodylengths where the columns that they need are there."""
+    metre = {"m": 1.0, "cm": 1e-2, "mm": 1e-3, "um": 1e-6, "µm": 1e-6, "nm": 1e-9}.get(cfg.length_unit, 1e-6)
+    if {"dir_autocorr_time", "avg_velocity"} <= set(table.columns):
+        table = table.withColumn("persistence_length", F.col("dir_autocorr_time") * F.col("avg_velocity"))
     if {"beat_frequency", "lateral_amplitude", "avg_velocity"} <= set(table.columns):
         table = table.withColumn("strouhal", ratio(F.col("beat_frequency") * 2 * F.col("lateral_amplitude"), F.col("avg_velocity")))
     if {"body_length", "avg_velocity"} <= set(table.columns):
@@ -205,6 +252,35 @@ def physics(table: DataFrame, cfg: TrackConfig) -> DataFrame:
     return table
 
 
+def everything(steps: DataFrame, cfg: TrackConfig, threshold: float, wanted: list[str] | None = None) -> DataFrame:
+    """uid and every metric of kinematics() rows, or the wanted ones in that order; only what these need is computed.
+
+    A metric whose columns are not there is left out; a wanted name that is no metric raises.
+    """
+    unknown = set(wanted or ()) - set(METRICS)
+    if unknown:
+        raise ValueError(f"no metrics: {', '.join(sorted(unknown))}")
+    need = set(wanted or METRICS)
+    for name, sources in DERIVED.items():
+        if name in need:
+            need |= set(sources)
+    parts = [table(steps, cfg, threshold)]  # columns that are not wanted are pruned
+    if need & set(DIFFUSION):
+        parts.append(diffusion(steps, share=cfg.msd_fraction))
+    if need & set(SERIES):
+        parts.append(series_metrics(steps))
+    if need & set(SHAPE) and set(steps.columns) & set(SHAPE_FROM):
+        parts.append(morphology(steps, cfg))
+    whole = physics(joined(parts), cfg)
+    return whole.select("uid", *[c for c in (wanted or METRICS) if c in whole.columns])
+
+
+def available(table: DataFrame, names: list[str]) -> list[str]:
+    """The metrics of which at least one track has a value."""
+    counts = table.agg(*[F.count(c).alias(c) for c in names]).first()
+    return [c for c in names if counts[c]]
+
+
 def joined(parts: list[DataFrame]) -> DataFrame:
     """Tables of one row a track, side by side."""
     out = parts[0]

@@ -118,6 +118,20 @@ def smoothed(v: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def smooth(spots: DataFrame, window: int) -> DataFrame:
+    """spots with smoothed x and y, a track at a time, ordered by t; spots itself for windows under five."""
+    if window < 5:
+        return spots
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("t")
+        for c in ("x", "y"):
+            t = t.set_column(t.schema.get_field_index(c), t.schema.field(c), pa.array(smoothed(t[c].to_numpy(), window), t.schema.field(c).type))
+        return t
+
+    return spots.groupBy("uid").applyInArrow(one, spots.schema)
+
+
 def of_track(t: pa.Table) -> pa.Table:
     t = t.sort_by("i")
     c = {k: t[k].to_numpy() for k in ("x", "y", "dt", "speed", "heading", "ang_vel")}

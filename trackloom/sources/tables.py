@@ -13,20 +13,20 @@ REQUIRED = ("track", "x", "y", "t")
 OPTIONAL = ("z", "group", "replicate", "area", "major", "minor", "angle", "intensity_mean", "intensity_std", "diameter")
 #: Names of columns in tracking exports, most specific first. Fixed values.
 NAMES: dict[str, tuple[str, ...]] = {
-    "track": ("track_id", "trackid", "track", "particle", "trajectory"),
-    "x": ("position_x", "x", "pos_x", "x_um", "x_px", "centroid_x"),
-    "y": ("position_y", "y", "pos_y", "y_um", "y_px", "centroid_y"),
-    "t": ("position_t", "frame", "t", "time", "slice"),
-    "z": ("position_z", "z", "pos_z"),
-    "group": ("group", "condition", "treatment", "class"),
-    "replicate": ("replicate", "rep", "batch", "plate"),
-    "area": ("area",),
-    "major": ("ellipse_major", "major", "major_axis"),
-    "minor": ("ellipse_minor", "minor", "minor_axis"),
-    "angle": ("ellipse_theta", "angle", "theta", "orientation"),
-    "intensity_mean": ("mean_intensity_ch1", "mean_intensity", "intensity_mean"),
-    "intensity_std": ("std_intensity_ch1", "std_intensity", "intensity_std"),
-    "diameter": ("estimated_diameter", "diameter", "radius"),
+    "track": ("track_id", "trackid", "track", "track_#", "id_track", "particle", "trajectory"),
+    "x": ("position_x", "x", "centroid_x", "pos_x", "x_um", "x_px", "xm"),
+    "y": ("position_y", "y", "centroid_y", "pos_y", "y_um", "y_px", "ym"),
+    "t": ("position_t", "frame", "t", "time", "slice", "timepoint"),
+    "z": ("position_z", "z", "est_z", "pos_z"),
+    "group": ("group", "cluster", "treatment", "condition", "cond", "class"),
+    "replicate": ("replicate", "subset", "rep", "batch", "movie", "well", "plate"),
+    "area": ("area", "avg_area"),
+    "major": ("ellipse_major", "major", "length", "major_axis"),
+    "minor": ("ellipse_minor", "minor", "width", "minor_axis"),
+    "angle": ("ellipse_theta", "ellipse_angle", "angle_p", "orientation", "angle", "theta"),
+    "intensity_mean": ("mean_intensity_ch", "mean_intensity", "mean_intnsty", "mean", "intensity_mean"),
+    "intensity_std": ("std_intensity_ch", "std_intensity", "stddev", "std_intnsty", "intensity_std"),
+    "diameter": ("estimated_diameter", "radius", "diameter"),
 }
 
 
@@ -42,16 +42,31 @@ class SpotColumns:
 
 
 def detected(columns: list[str]) -> SpotColumns:
-    """Roles of columns by their names, in any case and with spaces or underscores; a bare id is no track."""
-    known = {re.sub(r"\s+", "_", c.strip().lower()): c for c in reversed(columns)}
-    return SpotColumns({role: known[n] for role, names in NAMES.items() for n in names[::-1] if n in known})
+    """Roles of columns by their names, in any case; spaces, underscores, units in brackets and a channel's number don't
+    count. The first name of a role that a column has decides, and of two such columns the first. Where no column has a
+    track's name, one with track in it is the track; a bare id is none."""
+
+    def plain(name: str) -> str:
+        name = re.sub(r"[\s_]*\[[^\]]*\]$", "", name.strip().lower())
+        return re.sub(r"(?<=ch)[0-9]$", "", re.sub(r"[\s_]+", "", name))
+
+    known = {plain(c): c for c in reversed(columns)}
+    role = {role: known[n] for role, names in NAMES.items() for n in [plain(n) for n in names[::-1]] if n in known}
+    if "track" not in role and (c := next((c for c in columns if "track" in c.lower()), None)):
+        role["track"] = c
+    return SpotColumns(role)
 
 
 def guessed(stem: str) -> tuple[str, str]:
-    """Group and replicate in a file's name: spots_drug_high_rep2 is drug_high and 2; 1 where nothing is said."""
-    body = re.sub(r"^(spots|tracks|features)_", "", stem, flags=re.IGNORECASE)
-    m = re.match(r"(.*?)_?(?:rep|replicate|r)_?(\d+)$", body, flags=re.IGNORECASE)
-    return (m[1] or "1", m[2]) if m else (body or "1", "1")
+    """Group and replicate in a file's name: spots_drug_high_rep2 is drug_high and 2, ctrl_3 is ctrl and 3; 1 where
+    nothing is said. A number counts only after a separator: tumor7 is a group."""
+    body = re.sub(r"^(spots?|tracks?|features)_", "", stem, flags=re.IGNORECASE)
+    words = re.split(r"([\s_-]+)", body)  # words and what stands between them
+    number = re.fullmatch(r"(rep|replicate|r|batch)?([0-9]+)", words[-1], re.IGNORECASE)
+    named = len(words) > 4 and words[-3].lower() in ("rep", "replicate", "r", "batch")
+    if len(words) < 3 or not number or not (number[1] or named or words[-2].strip()):
+        return body or "1", "1"
+    return "".join(words[: -4 if named and not number[1] else -2]) or "1", str(int(number[2]))
 
 
 def sniffed(line: str) -> str:
