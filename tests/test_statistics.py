@@ -169,3 +169,10 @@ def test_node_clusters():
 def test_tiny_designs():
     x, y = np.random.default_rng(0).normal(size=(4, 3)), np.array([0, 0, 1, 1])
     assert math.isfinite(cl.classify(x, y, k=2, repeats=1, bootstrap=10).balanced_accuracy)
+
+
+def test_verdict_rules():
+    confidence = lambda *a, **k: cl.verdict(*a, **k)["confidence"]
+    assert confidence(0.01, 0.01, 0.5, 0.33) == "moderate" and confidence(0.01, 0.5, 0.9, 0.33) == "weak" and confidence(0.5, 0.01, 0.9, 0.33) == "weak"
+    assert confidence(0.01, None, 0.0, 0.0, r2=0.2) == "moderate" and confidence(0.01, None, 0.0, 0.0, r2=0.05) == "weak"
+    assert confidence(0.5, None, 0.0, 0.0) == "none" and confidence(None, None, 0.0, 0.0) == "unknown"

@@ -3,10 +3,12 @@ is joined to every other; its size is that of the list of features."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, correlation, finite
+from ..functions.columns import average_rank, finite, ratio
 
 SCALERS = ("zscore", "minmax", "robust", "rank", "none")
 
@@ -73,12 +75,32 @@ def varying(table: DataFrame, features: list[str], least: float = 1e-12) -> list
 
 
 def correlations(table: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, r) of every pair of features, a before b in the list; one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    if not pairs:
+    """(a, b, r) of every pair of features, a before b in the list; NULL where one of them is constant.
+
+    Rows that have both count. A task passes on its sums of products, a row a pair, whatever the number of its rows.
+    """
+    if len(features) < 2:
         raise ValueError("two features are needed")
-    every = F.array([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r")) for a, b in pairs])
-    return table.agg(every.alias("all")).select(F.explode("all").alias("e")).select("e.*")
+    shift = [float(v or 0.0) for v in table.agg(*[F.avg(c) for c in features]).first()]
+    left, right = np.triu_indices(len(features), 1)
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def sums(batches):
+        total = np.zeros((6, len(features), len(features)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - shift
+            there = np.isfinite(x)
+            z, h = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([h.T @ h, z.T @ h, h.T @ z, (z * z).T @ h, h.T @ (z * z), z.T @ z])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (left.astype(np.int32), right.astype(np.int32), *total[:, left, right])], ["i", "j", *names])
+
+    doubles = table.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(features)])
+    parts = doubles.mapInArrow(sums, "i int, j int, " + ", ".join(f"{n} double" for n in names)).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    at = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(k) + 1)
+    mean = lambda c: ratio(F.col(c), F.col("n"))
+    spread = lambda c, k: F.when((mean(c + c) - mean(c) * mean(c) > 1e-14 * mean(c + c)) & (mean(c + c) > 1e-24 * F.pow(at(shift, k), 2)), mean(c + c) - mean(c) * mean(c))
+    r = (mean("xy") - mean("x") * mean("y")) / F.sqrt(spread("x", "i") * spread("y", "j"))
+    return parts.select(at(features, "i").alias("a"), at(features, "j").alias("b"), r.alias("r"))
 
 
 def uncorrelated(table: DataFrame, features: list[str], most: float = 0.98) -> list[str]:
@@ -88,7 +110,7 @@ def uncorrelated(table: DataFrame, features: list[str], most: float = 0.98) -> l
     r = {(x["a"], x["b"]): abs(x["r"] or 0.0) for x in correlations(table, features).collect()}
     out: list[str] = []
     for c in features:
-        if all(r[a, c] <= most for a in out):
+        if all(r.get((a, c), 0.0) <= most for a in out):
             out.append(c)
     return out
 
