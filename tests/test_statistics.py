@@ -176,3 +176,15 @@ def test_verdict_rules():
     assert confidence(0.01, 0.01, 0.5, 0.33) == "moderate" and confidence(0.01, 0.5, 0.9, 0.33) == "weak" and confidence(0.5, 0.01, 0.9, 0.33) == "weak"
     assert confidence(0.01, None, 0.0, 0.0, r2=0.2) == "moderate" and confidence(0.01, None, 0.0, 0.0, r2=0.05) == "weak"
     assert confidence(0.5, None, 0.0, 0.0) == "none" and confidence(None, None, 0.0, 0.0) == "unknown"
+
+
+def test_correlations_of_rows_that_have_both(spark):
+    from trackloom.operators import prepare as prep
+
+    rows = [(1e6 + i, None if i % 3 == 0 else float(i * i), 0.1, 5.0 - 2 * i, None) for i in range(30)]
+    table = spark.createDataFrame(rows, "a double, b double, same double, c double, none double").repartition(4)
+    got = {(x["a"], x["b"]): x["r"] for x in prep.correlations(table, ["a", "b", "same", "c", "none"]).collect()}
+    both = np.array([(i, i * i) for i in range(30) if i % 3])
+    assert len(got) == 10 and got["a", "b"] == pytest.approx(np.corrcoef(both.T)[0, 1]) and got["a", "c"] == pytest.approx(-1)
+    assert all(got[p] is None for p in got if {"same", "none"} & set(p))
+    assert prep.uncorrelated(table, ["a", "b", "c"]) == ["a", "b"] and prep.uncorrelated(table.limit(0), ["a", "b", "c"]) == ["a", "b", "c"]
