@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_byte_owners
 from .bpe_trie import op10_trie_bpe
 from .lm_scoring import op9_gru_lm
 from .packing import op2_nnls_packing
@@ -16,6 +17,8 @@ from .rp_forest import op7_rp_forest
 from .simhash import op6_simhash
 from .sql import SQL
 from .suffix_dedup import op4_suffix_dedup
+from .toxicity import op11_noisy_channel
+from .vector_codes import op13_vector_codes
 from .warc import op8_warc_derivatives
 
 
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_derivatives": op8_warc_derivatives,
         "op9_gru_lm": op9_gru_lm,
         "op10_trie_bpe": op10_trie_bpe,
+        "op11_noisy_channel": op11_noisy_channel,
+        "op12_byte_owners": op12_byte_owners,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 

@@ -38,4 +38,24 @@ n AS (SELECT a AS v, count(*) AS n FROM l GROUP BY a), c AS (SELECT v, min(o) AS
 SELECT c.v AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, c.v = c AS kept FROM c LEFT JOIN n ON n.v = c.v
 """
 
-SQL = {"op4_suffix_dedup": PASSAGES, "op5_quality_cascade": QUALITY, "op7_rp_forest": VECTORS}
+
+
+def _codes(entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, then means rounded down, a round after another."""
+    steps = [
+        """WITH kept AS (SELECT vec_id, label, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "p AS (SELECT r, vec_id, k, v[k * (len(v) // 16) + 1:(k + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS k FROM kept))",
+        f"b0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id, x) - 1 AS e, x AS c FROM p QUALIFY e < {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT p.r AS r, p.k AS k, any_value(p.x) AS x, min({{'d': list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.e}}) AS m FROM p JOIN b{i} b ON p.k = b.k GROUP BY p.r, p.k)")
+        if i < rounds:
+            steps.append(f"n{i} AS (SELECT k, e, list(q ORDER BY j) AS c FROM (SELECT k, m.e AS e, j, CAST((sum(x[j]) - ((sum(x[j]) % count(*)) + count(*)) % count(*)) AS BIGINT) // count(*) AS q FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY k, m.e, j) GROUP BY k, e)")
+            steps.append(f"b{i + 1} AS (SELECT b.k AS k, b.e AS e, coalesce(n.c, b.c) AS c FROM b{i} b LEFT JOIN n{i} n ON n.k = b.k AND n.e = b.e)")
+    steps.append(f"s AS (SELECT r, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY k) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM b{rounds})")
+    return ", ".join(steps) + " SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM s JOIN kept ON kept.r = s.r, h"
+
+
+SQL = {"op13_vector_codes": _codes(), "op4_suffix_dedup": PASSAGES, "op5_quality_cascade": QUALITY, "op7_rp_forest": VECTORS}
