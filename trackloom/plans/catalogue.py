@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, maps, tracks
+from . import groups, maps, ordination, tracks
 
-MODULES = (tracks, groups, maps)
+MODULES = (tracks, groups, maps, ordination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
