@@ -18,7 +18,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -207,12 +207,14 @@ class Words:
         """Numbers of the text's words, in order."""
         words = text.lower().split()
         ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        if len(self.number) > len(self.names):
-            new = list(self.number)[len(self.names) :] if len(self.names) else list(self.number)
+        if (more := len(self.number) - len(self.names)) > 0:
+            begin, new = len(self.names), list(islice(reversed(self.number), more))[::-1]
             self.names += new
-            self.size = np.r_[self.size, np.fromiter(map(len, new), np.int64, len(new))]
+            if len(self.names) > len(self.size):  # room for as many again
+                self.size, self.value = (np.concatenate([x, np.zeros(len(self.names), x.dtype)]) for x in (self.size, self.value))
+            self.size[begin : begin + more] = list(map(len, new))
             if self.weights is not None:
-                self.value = np.r_[self.value, np.fromiter((self.weight(self.meant(w)) for w in new), np.float64, len(new))]
+                self.value[begin : begin + more] = [self.weight(self.meant(w)) for w in new]
         return ids
 
     def joined(self, ids: np.ndarray) -> list[list[str]]:
@@ -365,7 +367,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS, least: int = LE
 
     The weight of a feature, log((a + .5) / (A + 1)) - log((b + .5) / (B + 1)), has a of A groups of toxic near-copies and
     b of B other rows; negative ones are dropped. The logistic model is fitted on the `rows` rows of the least hashes of
-    doc_id at most. Without rows of both labels every text gets the share of toxic rows, 0 if there are none.
+    doc_id at most (and others of the last one's doc_id). Without rows of both labels every text gets the share of toxic rows, 0 if there are none.
     """
     model = log_model(character_counts(docs))
     known = stored(labelled(docs, labels), "labelled")
@@ -378,7 +380,10 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS, least: int = LE
     a, b = np.array([toxic[f] for f in names], np.float64), other_features(known, model, names)
     weight = np.log((a + 0.5) / (max(a.max(initial=0), 1) + 1)) - np.log((b + 0.5) / (n[0] + 1))
     weights = {f: float(w) for f, w in zip(names, weight, strict=True) if w > 0}
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "toxic", "text") if sum(n.values()) > rows else known
+    few = known
+    if sum(n.values()) > rows:  # by a bound, so that the rows stay where they are
+        bound = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+        few = known.where(F.xxhash64("doc_id") <= bound)
     got = evidence(few, Scorer(model, weights, np.zeros(TOP + 1)), "toxic").toArrow()
     y, x = got.column("toxic").to_numpy(), np.stack([got.column(f"w{k}").to_numpy() for k in range(TOP)], 1)
     return Scorer(model, weights, logistic(inputs(x), y))
