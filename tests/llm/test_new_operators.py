@@ -277,6 +277,7 @@ def test_disguised_texts_and_odd_rows(spark, rows):
     assert len(got[5003]) == 2 and got[None][0]["held_out"]
     low = got[5003][0]["score"]
     assert all(got[i][0]["score"] > max(0.5, low) for i in (5001, 5002, None)) and low < 0.5 and got[5004][0]["score"] == got[5005][0]["score"] <= low
+    assert 3 <= toxicity.labelled(df, labels, 20).select("doc_id").distinct().count() <= 20
     none = toxicity.scored(df, labels.where("doc_id < 0")).collect()
     assert len(none) == len(docs + test) and all(r["score"] < 1e-6 and r["predicted"] == 0 for r in none)
     assert toxicity.scored(df.limit(0), labels).collect() == []

@@ -38,6 +38,8 @@ LIKE, HIDDEN, LEFT_OUT, AGAIN, MEANT = 2.0, 3.5, 1.0, 1.0, 6.0
 #: Codes of the character model: 0 for a border, 26 letters, 27 for signs and digits, 32 for other letters.
 CODES = 60
 PREFIXES = (4, 5, 6)
+#: Labels to learn from at most, a bounded sample of the labelled rows, as a table that every task holds (some 10 MB).
+LABELS = 500_000
 #: Toxic groups of texts that a feature needs; features known to every task at most; labelled rows the logistic model is
 #: fitted on at most (the least hashes of doc_id); greatest weights it sees.
 LEAST, FEATURES, ROWS, TOP = 5, 1 << 17, 20_000, 3
@@ -256,11 +258,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> DataFrame:
     """(doc_id, text, toxic) of the rows to learn from. A label that is null or neither 0 nor 1 is none; of several labels
-    of one id the greatest counts; ids that repeat among docs count each."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id"))).join(known.where(~held_out(F.col("doc_id"))), "doc_id")
+    of one id the greatest counts; ids that repeat among docs count each.
+
+    The labels go to all tasks, so that no text is moved. Of more than `most` labels to learn from, those of the least
+    hashes of doc_id are taken, by a bound on the hash that leaves some 19 of 20 of `most`.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    if (n := known.count()) > most:
+        known = known.where(F.xxhash64("doc_id") < int(-(2**63) + 2**64 * 0.95 * most / n))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id"))).join(F.broadcast(known), "doc_id")
 
 
 def toxic_features(rows: DataFrame, model: np.ndarray, least: int = LEAST, most: int = FEATURES) -> dict[str, int]:
@@ -362,15 +370,15 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 5
     return w
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS, least: int = LEAST, most: int = FEATURES) -> Scorer:
-    """Learns from docs (all of them, for characters) and labels (of rows that are not held out, for words).
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS, least: int = LEAST, most: int = FEATURES, sample: int = LABELS) -> Scorer:
+    """Learns from docs (all of them, for characters) and labels (of rows that are not held out, `sample` at most, for words).
 
     The weight of a feature, log((a + .5) / (A + 1)) - log((b + .5) / (B + 1)), has a of A groups of toxic near-copies and
     b of B other rows; negative ones are dropped. The logistic model is fitted on the `rows` rows of the least hashes of
     doc_id at most (and others of the last one's doc_id). Without rows of both labels every text gets the share of toxic rows, 0 if there are none.
     """
     model = log_model(character_counts(docs))
-    known = stored(labelled(docs, labels), "labelled")
+    known = stored(labelled(docs, labels, sample), "labelled")
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
         share = 1 - 1e-9 if n.get(1) else 1e-9
