@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, maps, ordination, tracks
+from . import groups, maps, ordination, tracks, validation
 
-MODULES = (tracks, groups, maps, ordination)
+MODULES = (tracks, groups, maps, ordination, validation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
