@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import crossval as cv
+from ..operators import forest as fo
 from .groups import FEATURES, vectors
 from .tracks import rounded
 
@@ -26,4 +27,5 @@ def queries() -> dict:
         "cv_pairwise": lambda s, d: rounded(cv.pairwise_accuracy(vectors(s, d), "vec_id", "label", "embedding")),
         "cv_recall_replicates": lambda s, d: rounded(cv.recall_table(flags(s, d), "row", "l_returnflag", "v", "l_linenumber", "leave_one_replicate_out")),
         "cv_pairwise_replicates": lambda s, d: rounded(cv.pairwise_accuracy(flags(s, d), "row", "l_returnflag", "v", "l_linenumber")),
+        "forest_importance": lambda s, d: rounded(fo.importance(vectors(s, d), "vec_id", "label", "embedding", [f"e{i:02d}" for i in range(64)])),
     }
