@@ -150,8 +150,12 @@ def initial(x: np.ndarray, lattice: Lattice, kind: str, rng: np.random.Generator
         return x[rng.choice(len(x), n, replace=n > len(x))].copy()
     if kind == "random":
         return rng.uniform(x.min(0), x.max(0), (n, x.shape[1]))
-    mean = x.mean(0)
-    value, vector = np.linalg.eigh(np.cov(x.T, ddof=0).reshape(x.shape[1], x.shape[1]))
+    return plane(x.mean(0), np.cov(x.T, ddof=0).reshape(x.shape[1], x.shape[1]), lattice)
+
+
+def plane(mean: np.ndarray, covariance: np.ndarray, lattice: Lattice) -> np.ndarray:
+    """Nodes on the plane of the two leading components."""
+    value, vector = np.linalg.eigh(covariance)
     axes = (vector[:, ::-1] * np.sqrt(np.maximum(value[::-1], 0)))[:, :2]
     axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)
     span = np.ptp(lattice.xy, axis=0)
@@ -166,7 +170,8 @@ def sums(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return s, np.bincount(b, minlength=len(w)).astype(float), float(d.sum())
 
 
-def _width(epoch: int, cfg: SomConfig, lattice: Lattice) -> float:
+def width_at(epoch: int, cfg: SomConfig, lattice: Lattice) -> float:
+    """Width of the neighbourhood in an epoch, the first being 1."""
     start = max(lattice.distance.max() / 2, cfg.sigma_final)
     return max(cfg.sigma_final, start * np.exp(-epoch / max(1.0, cfg.decay * cfg.epochs)))
 
@@ -185,16 +190,21 @@ def batch(x: np.ndarray | DataFrame, cfg: SomConfig, vector: str = "features", s
     lattice = Lattice.grid(*cfg.size(n), cfg.topology, cfg.toroidal)
     w = initial(sample, lattice, cfg.init, np.random.default_rng(cfg.seed)) if start is None else start.copy()
     history = []
-    for epoch in range(cfg.epochs):
-        sigma = _width(epoch, cfg, lattice)
+    for epoch in range(1, cfg.epochs + 1):
+        sigma = width_at(epoch, cfg, lattice)
         s, c, error = each(w)
-        h = lattice.neighbourhood(sigma, cfg.neighbourhood)
-        weight = h @ c
-        w = np.where(np.abs(weight)[:, None] > 1e-12, (h @ s) / np.where(np.abs(weight) > 1e-12, weight, 1)[:, None], w)
+        w = updated(w, s, c, lattice.neighbourhood(sigma, cfg.neighbourhood))
         history.append({"epoch": epoch, "sigma": sigma, "quantisation_error": error / max(n, 1)})
     return Map(w, lattice, history)
 
 
+def updated(w: np.ndarray, s: np.ndarray, c: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The codebook after an epoch of sums s and counts c by node, spread by h; a node that nothing reaches stays."""
+    weight = h @ c
+    reached = np.abs(weight) > 1e-12
+    return np.where(reached[:, None], (h @ s) / np.where(reached, weight, 1)[:, None], w)
+
+
 def _spark_sums(vectors: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, c, e = np.zeros_like(w), np.zeros(len(w)), 0.0
@@ -216,8 +226,8 @@ def online(x: np.ndarray, cfg: SomConfig) -> Map:
     lattice = Lattice.grid(*cfg.size(len(x)), cfg.topology, cfg.toroidal)
     w = initial(x, lattice, cfg.init, rng)
     history = []
-    for epoch in range(cfg.epochs):
-        sigma = _width(epoch, cfg, lattice)
+    for epoch in range(1, cfg.epochs + 1):
+        sigma = width_at(epoch, cfg, lattice)
         h = lattice.neighbourhood(sigma, cfg.neighbourhood) * min(1.0, cfg.learning_rate * np.exp(-epoch / max(1.0, cfg.decay * cfg.epochs)))
         for i in rng.permutation(len(x)):
             b = int(((w - x[i]) ** 2).sum(1).argmin())
@@ -242,7 +252,7 @@ def relevance(x: np.ndarray, y: np.ndarray, cfg: SomConfig) -> Map:
     m = batch(x, cfg)
     w, history = m.codebook, []
     k = int(y.max()) + 1
-    for epoch in range(cfg.epochs):
+    for epoch in range(1, cfg.epochs + 1):
         root = np.sqrt(lam)
         b = two_nearest(x * root, w * root)[0]
         votes = np.zeros((len(w), k))
@@ -263,10 +273,10 @@ def relevance(x: np.ndarray, y: np.ndarray, cfg: SomConfig) -> Map:
             lam *= d / lam.sum()
         root = np.sqrt(lam)
         s, c, error = sums(x * root, w * root)
-        h = m.lattice.neighbourhood(_width(epoch, cfg, m.lattice), cfg.neighbourhood)
+        h = m.lattice.neighbourhood(width_at(epoch, cfg, m.lattice), cfg.neighbourhood)
         weight = h @ c
         w = np.where(weight[:, None] > 1e-12, (h @ (s / root)) / np.maximum(weight, 1e-12)[:, None], w)
-        history.append({"epoch": epoch, "sigma": _width(epoch, cfg, m.lattice), "quantisation_error": error / len(x)})
+        history.append({"epoch": epoch, "sigma": width_at(epoch, cfg, m.lattice), "quantisation_error": error / len(x)})
     return Map(w, m.lattice, history, lam)
 
 
@@ -280,7 +290,7 @@ def growing(x: np.ndarray, cfg: SomConfig) -> Map:
     error = [0.0] * 4
     side = lambda p: [(p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)]
     history = []
-    for epoch in range(cfg.epochs):
+    for epoch in range(1, cfg.epochs + 1):
         rate = cfg.learning_rate * np.exp(-epoch / 15)
         at = {i: p for p, i in places.items()}
         for i in rng.permutation(len(x)):

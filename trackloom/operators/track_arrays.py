@@ -119,12 +119,12 @@ def smoothed(v: np.ndarray, window: int) -> np.ndarray:
 
 
 def smooth(spots: DataFrame, window: int) -> DataFrame:
-    """spots with smoothed x and y, a track at a time, ordered by t; spots itself for windows under five."""
+    """spots with smoothed x and y, a track at a time, ordered by t, of equal times by x and y; spots itself for windows under five."""
     if window < 5:
         return spots
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("t")
+        t = t.sort_by([(c, "ascending") for c in ("t", "x", "y")])
         for c in ("x", "y"):
             t = t.set_column(t.schema.get_field_index(c), t.schema.field(c), pa.array(smoothed(t[c].to_numpy(), window), t.schema.field(c).type))
         return t

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workbook
+
 REQUIRED = ("track", "x", "y", "t")
 OPTIONAL = ("z", "group", "replicate", "area", "major", "minor", "angle", "intensity_mean", "intensity_std", "diameter")
 #: Names of columns in tracking exports, most specific first. Fixed values.
@@ -44,7 +46,8 @@ class SpotColumns:
 def detected(columns: list[str]) -> SpotColumns:
     """Roles of columns by their names, in any case; spaces, underscores, units in brackets and a channel's number don't
     count. The first name of a role that a column has decides, and of two such columns the first. Where no column has a
-    track's name, one with track in it is the track; a bare id is none."""
+    track's name, the first that begins with track is the track; a bare id is none. x and y may go on with letters, as in
+    x_coord, which counts before other names than position_x and x."""
 
     def plain(name: str) -> str:
         name = re.sub(r"[\s_]*\[[^\]]*\]$", "", name.strip().lower())
@@ -52,8 +55,12 @@ def detected(columns: list[str]) -> SpotColumns:
 
     known = {plain(c): c for c in reversed(columns)}
     role = {role: known[n] for role, names in NAMES.items() for n in [plain(n) for n in names[::-1]] if n in known}
-    if "track" not in role and (c := next((c for c in columns if "track" in c.lower()), None)):
+    if "track" not in role and (c := next((c for c in columns if c.strip().lower().startswith("track")), None)):
         role["track"] = c
+    for axis in ("x", "y"):
+        lettered = (c for c in columns if re.fullmatch(rf"{axis}[\s_]?\[?[a-zµ]*\]?", c.strip().lower()))
+        if plain(role.get(axis, "")) not in (axis, f"position{axis}") and (c := next(lettered, None)):
+            role[axis] = c
     return SpotColumns(role)
 
 
@@ -76,11 +83,15 @@ def sniffed(line: str) -> str:
         return ","
 
 
-def read_table(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A delimited, Parquet, JSON or ORC table with stripped names; what looks like further header rows goes."""
+def read_table(spark: SparkSession, path: str, separator: str | None = None, sheet: str | int = 0) -> DataFrame:
+    """A delimited, Parquet, JSON or ORC table or a workbook's sheet, with stripped names; what looks like further header rows goes."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("parquet", "json", "orc"):
         return spark.read.format(kind).load(path)
+    if kind in workbook.KINDS:
+        return typed(without_headers(workbook.read_sheet(spark, path, sheet)))
+    if kind in ("xls", "xlsb", "ods"):
+        raise ValueError(f"{path}: save it as xlsx; {kind} is not read")
     if separator is None:
         first = spark.read.text(path).limit(1).collect()
         separator = "\t" if kind in ("tsv", "txt") else sniffed(first[0][0] if first else "")
@@ -120,12 +131,12 @@ def spots(table: DataFrame, columns: SpotColumns, source: str = "", group: str =
     return out.dropna(subset=["x", "y", "t"]).withColumn("uid", F.concat_ws("|", "group", "replicate", "source", "track"))
 
 
-def read_spots(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_spots(spark: SparkSession, paths: list[str], sheet: str | int = 0) -> DataFrame:
     """Files of detections as one table; group and replicate from each file's name unless its columns say them."""
     out = None
     for path in paths:
         stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        t = read_table(spark, path)
+        t = read_table(spark, path, sheet=sheet)
         one = spots(t, detected(t.columns), stem, *guessed(stem))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
@@ -133,6 +144,11 @@ def read_spots(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def numeric_columns(table: DataFrame) -> list[str]:
+    """Columns of numbers of any type, truth values among them."""
+    return [c for c, k in table.dtypes if k in ("double", "float", "tinyint", "smallint", "int", "bigint", "boolean") or k.startswith("decimal")]
+
+
 def features(table: DataFrame, names: list[str], sample: str | None = None, group: str | None = None, replicate: str | None = None) -> DataFrame:
     """A table of samples that are measured already: sample, group, replicate and the named features as doubles."""
     ident = F.col(sample).cast("string") if sample else F.format_string("S%04d", F.monotonically_increasing_id() + 1)
