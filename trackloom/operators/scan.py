@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,33 +130,46 @@ def _moments(vectors: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, n
     return mean, s / max(n, 1), low, high
 
 
+#: Tasks that add up what the tasks over the rows return; so many numbers a map reach the driver.
+ADDERS = 8
+
+
 def _pass(vectors: DataFrame, vector: str, cells: list[Cell]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
     """Of each map: sums of the rows by node, their counts, the sum of distances, and the rows whose two nearest nodes are
-    no neighbours. A task returns nodes, not rows."""
+    no neighbours. A task returns a row a map, of nodes times features numbers; such rows are added up as they come."""
     books = [(c.map.codebook, c.map.lattice.adjacent) for c in cells]
+    schema, names = "map int, part int, w binary", ["map", "part", "w"]
+
+    def passed_on(held: dict[int, np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
+        for i, w in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([w.tobytes()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[np.zeros_like(w), np.zeros(len(w)), 0.0, 0.0] for w, _ in books]
+        held = {i: np.zeros(w.size + len(w) + 2) for i, (w, _) in enumerate(books)}
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column(0).to_pylist(), float)
-                for h, (w, near) in zip(held, books, strict=True):
+                for i, (w, near) in enumerate(books):
                     n1, d1, n2, _ = som.two_nearest(x, w)
-                    np.add.at(h[0], n1, x)
-                    h[1] += np.bincount(n1, minlength=len(w))
-                    h[2] += float(d1.sum())
-                    h[3] += float((~near[n1, n2]).sum())
-        for i, (s, c, e, t) in enumerate(held):
-            k = np.arange(len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i)), pa.array(k), pa.array(list(s), pa.list_(pa.float64())), pa.array(c), pa.array(np.where(k == 0, e, 0.0)), pa.array(np.where(k == 0, t, 0.0))], ["map", "node", "s", "c", "e", "t"])
-
-    width = len(books[0][0][0])
-    total = vectors.select(vector).mapInArrow(run, "map long, node long, s array<double>, c double, e double, t double").groupBy("map", "node").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s"), F.sum("c").alias("c"), F.sum("e").alias("e"), F.sum("t").alias("t")).collect()
-    out = [(np.zeros_like(w), np.zeros(len(w)), 0.0, 0.0) for w, _ in books]
-    for r in total:
-        s, c, e, t = out[r["map"]]
-        s[r["node"]], c[r["node"]] = r["s"], r["c"]
-        out[r["map"]] = (s, c, e + r["e"], t + r["t"])
+                    s = np.zeros_like(w)
+                    np.add.at(s, n1, x)
+                    held[i] += np.r_[s.ravel(), np.bincount(n1, minlength=len(w)), d1.sum(), (~near[n1, n2]).sum()]
+        yield from passed_on(held, TaskContext.get().partitionId())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, w in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                held[i] = held.get(i, 0.0) + np.frombuffer(w.as_py(), float)
+        yield from passed_on(held, TaskContext.get().partitionId())
+
+    total: dict[int, np.ndarray] = {}
+    for r in sorted(vectors.select(vector).mapInArrow(run, schema).repartition(ADDERS, "part").mapInArrow(add, schema).collect(), key=lambda r: (r["map"], r["part"])):
+        total[r["map"]] = total.get(r["map"], 0.0) + np.frombuffer(r["w"], float)
+    out = []
+    for i, (w, _) in enumerate(books):
+        t = total.get(i, np.zeros(w.size + len(w) + 2))
+        out.append((t[: w.size].reshape(w.shape), t[w.size : -2], float(t[-2]), float(t[-1])))
     return out
 
 
@@ -165,6 +178,7 @@ def maps(vectors: DataFrame, vector: str, grid: list[dict], base: SomConfig | No
     epoch, whatever the number of cells. History has epoch, sigma, quantisation_error and topographic_error before the
     epoch's update, and one entry more for the finished map; up to so many snapshots are kept. Rows with a null vector or
     null components are left out."""
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # a row of sums is as large as a map
     rows = vectors.where(_whole(vector)).select(vector).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n, cells = rows.count(), []

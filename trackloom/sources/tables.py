@@ -46,7 +46,7 @@ class SpotColumns:
 def detected(columns: list[str]) -> SpotColumns:
     """Roles of columns by their names, in any case; spaces, underscores, units in brackets and a channel's number don't
     count. The first name of a role that a column has decides, and of two such columns the first. Where no column has a
-    track's name, the first that begins with track is the track; a bare id is none. x and y may go on with letters, as in
+    track's name, the first that begins with track is the track, else the first with track in it; a bare id is none. x and y may go on with letters, as in
     x_coord, which counts before other names than position_x and x."""
 
     def plain(name: str) -> str:
@@ -55,7 +55,7 @@ def detected(columns: list[str]) -> SpotColumns:
 
     known = {plain(c): c for c in reversed(columns)}
     role = {role: known[n] for role, names in NAMES.items() for n in [plain(n) for n in names[::-1]] if n in known}
-    if "track" not in role and (c := next((c for c in columns if c.strip().lower().startswith("track")), None)):
+    if "track" not in role and (c := min((c for c in columns if "track" in c.lower()), key=lambda c: not c.strip().lower().startswith("track"), default=None)):
         role["track"] = c
     for axis in ("x", "y"):
         lettered = (c for c in columns if re.fullmatch(rf"{axis}[\s_]?\[?[a-zµ]*\]?", c.strip().lower()))
