@@ -354,3 +354,42 @@ def test_pipeline_stages_keep_clashing_columns(spark, rows):
         table = spark.createDataFrame(table.collect(), table.schema)
     got = {tuple(r)[2:] for r in table.collect()}
     assert got and got <= {x[2:] for x in data}
+
+
+@pytest.mark.parametrize("n,most", [(5000, 0.35), (20_000, 0.12)])
+def test_the_forest_compares_a_falling_share_of_all_pairs(n, most):
+    """Pairs that share a leaf, repeats across trees included, over all pairs of one label; and a bounded number of leaves a
+    row."""
+    x = rp_forest.unit(np.random.default_rng(1).normal(size=(n, 64)))
+    depth = rp_forest.depth_of(n, rp_forest.LEAF, n)
+    trees = [rp_forest.Tree.fitted(x, np.zeros(n, int), 1.0, rp_forest.LEAF, depth, rp_forest.part_of(depth, rp_forest.TREES), np.random.default_rng(k)) for k in range(2)]
+    found = [t.leaves(x) for t in trees]
+    pairs = sum(int((c * (c - 1) // 2).sum()) for c in (np.bincount(leaf) for _, leaf in found)) * rp_forest.TREES / len(trees)
+    assert pairs < most * n * (n - 1) / 2
+    assert sum(len(r) for r, _ in found) / len(found) < 5 * n
+
+
+def test_a_pair_at_the_threshold_is_parted_as_seldom_as_stated():
+    """Scattered pairs and a dense group: a tree parts no more of them than all trees together may."""
+    r = np.random.default_rng(2)
+    far = (2 - 2 * rp_forest.COSINE) ** 0.5
+    base = rp_forest.unit(np.concatenate([r.normal(size=(3000, 64)), r.normal(size=64) + r.normal(0, 0.2, (3000, 64))]))
+    other = r.normal(size=base.shape)
+    other = rp_forest.unit(other - (other * base).sum(1)[:, None] * base)
+    near = rp_forest.unit(base * (1 - far**2 / 2) + other * (1 - (1 - far**2 / 2) ** 2) ** 0.5)
+    x = np.concatenate([base, near])
+    depth = rp_forest.depth_of(len(x), 64, len(x))
+    tree = rp_forest.Tree.fitted(x, np.zeros(len(x), int), 1.0, 64, depth, rp_forest.part_of(depth, 8), np.random.default_rng(3))
+    row, leaf = tree.leaves(x)
+    held = [set() for _ in x]
+    for i, k in zip(row.tolist(), leaf.tolist(), strict=True):
+        held[i].add(k)
+    parted = np.mean([not held[i] & held[i + len(base)] for i in range(len(base))])
+    assert len(set(leaf.tolist())) > 30 and parted <= rp_forest.LOSS ** (1 / 8)
+
+
+def test_labels_of_any_type(spark):
+    """Not-a-number is a label like others, and batches end within runs."""
+    x = np.random.default_rng(4).normal(size=(40, 8)).tolist()
+    table = spark.createDataFrame([(i, x[i % 40], float("nan") if i % 2 else 1.5) for i in range(120)], "vec_id long, embedding array<double>, label double")
+    assert {(r["vec_id"] % 40, r["n_links"], r["component_id"]) for r in rp_forest.near_vectors(table).collect()} == {(i, 2, i) for i in range(40)}

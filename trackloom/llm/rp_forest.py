@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-A tree splits at a random direction's median and spills: what lies near the median goes to both sides. How far follows from
-COSINE: a split parts a pair only if the direction parts it by more than the band, so that a pair at the threshold shares
-no leaf of any tree with probability LOSS at most, at any size. A node that the band keeps from getting smaller is a leaf.
+A node of a tree splits along a random direction at a random place of an interval as wide as the node's quartiles lie apart,
+and spills: what lies within half a band of that place goes to both sides. A pair is parted only if the place falls between
+its two by more than the band leaves, which has a chance of E(gap - band) / width at most, wherever the pair lies. The band is
+as wide as keeps a pair at COSINE together in a tree with the probability that leaves all trees to part it with LOSS at most,
+at any size. A node that the band keeps from getting smaller is a leaf.
 The trees are fitted on a sample of at most SAMPLE vectors; every vector is routed through all of them. Vectors that share
 a leaf and a label are compared exactly, those of a large leaf in blocks dealt to several tasks. Equal vectors are one
 class and compared once. Of a leaf only counts and a spanning forest of its links are passed on, never its pairs; a pair
@@ -16,20 +18,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.special import f_tail
 from .common import configured, of_classes, parallelism, schema, stored, trimming
 from .components import Forest, components
 
-COSINE, TREES, LEAF, SAMPLE = 0.98, 6, 1000, 20_000
+COSINE, TREES, LEAF, SAMPLE = 0.98, 8, 64, 20_000
 #: A leaf holds at most LEAF vectors of a label, and in smaller tables the largest label's vectors by so many.
-SPLITS = 4
+SPLITS = 16
 #: How likely a pair at the threshold may share no leaf of any tree.
 LOSS = 1e-9
-#: A split has to bring a node's pairs down to this share.
-WORTH = 0.8
+#: A split has to bring a node's pairs down to this share; so many directions are tried.
+WORTH, TRIES = 0.8, 4
+#: What share of a node its larger child has as a rule, which tells how deep trees get; sampled vectors that a split needs.
+LARGER, FEWEST = 0.62, 16
 #: A leaf of more vectors is compared by blocks, a pair of them in a task.
 MOST = 3000
 #: Vectors compared at once.
@@ -46,25 +51,31 @@ class Tree:
     children: np.ndarray
 
     @classmethod
-    def fitted(cls, x: np.ndarray, labels: np.ndarray, each: float, leaf: int, depth: int, band: float, rng: np.random.Generator) -> Tree:
-        """labels: small numbers; each: how many vectors one of x stands for; leaf: vectors of a label that need no split."""
+    def fitted(cls, x: np.ndarray, labels: np.ndarray, each: float, leaf: int, depth: int, part: float, rng: np.random.Generator) -> Tree:
+        """labels: small numbers; each: how many vectors one of x stands for; leaf: vectors of a label that need no split;
+        part: how likely a split may part a pair at the threshold."""
         directions, low, high, children, leaves = [], [], [], [], 0
+        bands = Bands(x.shape[1])
         todo = [(np.arange(len(x)), 0, -1, 0)]
         while todo:
             at, level, parent, side = todo.pop()
             here = ~leaves
-            if level < depth and len(at) >= 8 and each * np.bincount(labels[at]).max() > leaf:
-                d = rng.normal(size=x.shape[1])
-                p = x[at] @ (d := d / np.linalg.norm(d))
-                middle = np.median(p)
-                left, right = at[p <= middle + band / 2], at[p >= middle - band / 2]
-                if len(left) ** 2 + len(right) ** 2 <= WORTH * len(at) ** 2:
-                    here = len(low)
-                    directions.append(d)
-                    low.append(middle - band / 2)
-                    high.append(middle + band / 2)
-                    children.append([0, 0])
-                    todo += [(left, level + 1, here, 0), (right, level + 1, here, 1)]
+            if level < depth and len(at) >= FEWEST and each * np.bincount(labels[at]).max() > leaf:
+                near = x[at]
+                width = np.subtract(*np.quantile(near @ unit(rng.normal(size=(TRIES, x.shape[1]))).T, [0.75, 0.25], axis=0)).mean()
+                band = bands.of(part * width)
+                for d in unit(rng.normal(size=(TRIES, x.shape[1]))):
+                    p = near @ d
+                    place = np.median(p) + width * (rng.random() - 0.5)
+                    left, right = at[p <= place + band / 2], at[p >= place - band / 2]
+                    if len(left) ** 2 + len(right) ** 2 <= WORTH * len(at) ** 2:
+                        here = len(low)
+                        directions.append(d)
+                        low.append(place - band / 2)
+                        high.append(place + band / 2)
+                        children.append([0, 0])
+                        todo += [(left, level + 1, here, 0), (right, level + 1, here, 1)]
+                        break
             leaves += here < 0
             if parent >= 0:
                 children[parent][side] = here
@@ -89,20 +100,35 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def band_of(d: int, depth: int, trees: int) -> float:
-    """The width within which a random direction leaves a pair at the threshold, but for a probability so small that
-    `trees` trees of `depth` splits part it with LOSS at most.
+class Bands:
+    """By how much the gap of a pair at the threshold exceeds a band, on average over random directions in d dimensions.
 
-    The squared cosine of a random direction and the pair's difference follows Beta(1/2, (d - 1)/2).
+    The cosine t of a random direction and the pair's difference has a density in proportion to (1 - t^2)^((d - 3) / 2).
     """
-    far = (2 - 2 * COSINE) ** 0.5 + 1e-9
-    if d < 3:
-        return far
-    low, high, p = 0.0, 1.0, LOSS ** (1 / trees) / max(1, depth)
-    for _ in range(50):
-        t = (low + high) / 2
-        low, high = (t, high) if f_tail(t * t / (1 - t * t) * (d - 1), 1, d - 1) > p else (low, t)
-    return far * high
+
+    def __init__(self, d: int, parts: int = 4096) -> None:
+        self.far = (2 - 2 * COSINE) ** 0.5 + 1e-9
+        t = (np.arange(parts) + 0.5) / parts
+        w = (1 - t * t) ** ((d - 3) / 2)
+        w, self.t = w / w.sum(), np.arange(parts + 1) / parts
+        beyond, moment = (np.r_[np.cumsum(v[::-1])[::-1], 0] for v in (w, w * t))
+        self.excess = self.far * (moment - self.t * beyond)
+        self.flat = d < 3
+
+    def of(self, excess: float) -> float:
+        """The least band that the gap exceeds by so much at most; below three dimensions the pair's whole distance."""
+        return self.far * float(1 if self.flat else self.t[min(int(np.searchsorted(-self.excess, -excess)), len(self.t) - 1)])
+
+
+def part_of(depth: int, trees: int) -> float:
+    """How likely a split may part a pair, so that all of so many trees of such a depth part it with LOSS at most."""
+    return 1 - (1 - LOSS ** (1 / trees)) ** (1 / max(1, depth))
+
+
+def depth_of(n: int, leaf: int, sample: int) -> int:
+    """Splits on the way to leaves of so many of n vectors, as far as the sample goes; none where n is a leaf."""
+    ratio = min(n / leaf, max(1.0, sample / FEWEST)) if n > leaf else 1
+    return int(np.ceil(np.log(ratio) / -np.log(LARGER)))
 
 
 def shared(a: np.ndarray, b: np.ndarray, leaf: int, linked: np.ndarray) -> np.ndarray:
@@ -160,6 +186,28 @@ def compared(ids: np.ndarray, n: np.ndarray, x: np.ndarray, seen: np.ndarray, le
     return np.r_[ids[pairs[:, 0]], ids[at]], np.r_[ids[pairs[:, 1]], np.full(len(at), -1)], np.r_[np.zeros(len(pairs), np.int64), total[at].astype(np.int64)]
 
 
+def links_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: np.concatenate([p[k] for p in parts]).astype(np.int64) for k, name in enumerate("abw")})
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Rows in a row that agree in the columns by, whatever batches they come in."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        change = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in by:
+            x = t[c].combine_chunks()
+            change |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield t.slice(a, b - a)
+        rest = t.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def usable(embedding: Column, label: Column) -> Column:
     """Not null, with a label, finite in every component, and not zero."""
     x = embedding.cast("array<double>")
@@ -181,30 +229,34 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "label", "embedding", "least", "n"), "classes")
     sizes = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
     leaf = max(1, min(LEAF, (sizes["n"] or 0) // SPLITS))
-    depth = int(np.ceil(np.log(max(1, sizes["all"] or 0) / leaf) / -np.log((WORTH / 2) ** 0.5)))
+    depth = depth_of(sizes["n"] or 0, leaf, sample)
     forests = fitted(classes, sizes["all"] or 0, sample, trees, leaf, depth, seed)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
-            out: list[list] = [[], [], []]
-            for d in {len(v) for v in vectors}:
-                at = np.array([i for i, v in enumerate(vectors) if len(v) == d])
-                u = unit(np.stack([vectors[i] for i in at]))
+            vectors, sizes = batch.column(2), pc.list_value_length(batch.column(2)).to_numpy()
+            values, begins = vectors.flatten().to_numpy().astype(np.float64), np.cumsum(sizes) - sizes
+            rows, leaves = [], []
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                u = unit(values[begins[at][:, None] + np.arange(d)])
                 found = [tree.leaves(u) for tree in forests.get(d, [])] or [(np.arange(len(at)), np.zeros(len(at), np.int64))]
-                row = at[np.concatenate([r for r, _ in found])]
-                leaf = np.concatenate([(k << 32) + x for k, (_, x) in enumerate(found)])
-                for i, x in zip(row.tolist(), leaf.tolist(), strict=True):
-                    out[0].append(i)
-                    out[1].append(x)
-            own: dict[int, list[int]] = {}
-            for i, x in zip(*out[:2], strict=True):
-                own.setdefault(i, []).append(x)
-            take = batch.take(pa.array(out[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(out[1], pa.int64()), pa.array([own[i] for i in out[0]], pa.list_(pa.int64()))], [*take.schema.names, "leaf", "leaves"])
+                rows += [at[r] for r, _ in found]
+                leaves += [(k << 32) + x for k, (_, x) in enumerate(found)]
+            if not rows:
+                continue
+            row, leaf = np.concatenate(rows), np.concatenate(leaves)
+            by = np.lexsort((leaf, row))
+            row, leaf = row[by], pa.array(leaf[by])
+            own = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)), leaf)
+            take = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*take.columns, leaf, own.take(pa.array(row))], [*take.schema.names, "leaf", "leaves"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    routed = classes.select("class", "label", "embedding", "n").mapInArrow(trimming(route), schema(f"class long, label {classes.schema['label'].dataType.simpleString()}, embedding {kind}, n long, leaf long, leaves array<long>"))
+    of_label = classes.schema["label"].dataType
+    plain = F.col("label") if isinstance(of_label, (T.IntegralType, T.StringType, T.BooleanType, T.DecimalType, T.DateType)) else F.col("label").cast("string")
+    given = classes.select("class", plain.alias("label"), "embedding", "n")
+    routed = given.mapInArrow(trimming(route), schema(f"class long, label {given.schema['label'].dataType.simpleString()}, embedding {kind}, n long, leaf long, leaves array<long>"))
 
     place = ["label", "leaf", "d"]
     routed = routed.withColumn("d", F.size("embedding"))
@@ -216,18 +268,30 @@ def near_vectors(table: DataFrame, trees: int = TREES, sample: int = SAMPLE, see
         routed = routed.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
     routed = routed.select("class", "n", "embedding", "leaves", *place, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def meet(t: pa.Table) -> pa.Table:
-        vectors = t["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
-        seen = t["leaves"].to_pylist()
-        wide = max(map(len, seen))
-        own, i, j = t["own"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        got = compared(t["class"].to_numpy(), t["n"].to_numpy(), vectors, np.array([x + [-1] * (wide - len(x)) for x in seen]), int(t["leaf"][0].as_py()), left, right)
-        return pa.table(dict(zip(("a", "b", "w"), got, strict=True)))
-
     by = [*place, "i", "j"]
-    found = stored(routed.repartition(parallelism(spark), *by).groupBy(*by).applyInArrow(meet, schema("a long, b long, w long")), "links")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+        for t in runs(batches, by):
+            own, i, j = t["own"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+            left = np.flatnonzero(own == i)
+            right = left if i == j else np.flatnonzero(own == j)
+            if not len(left) or not len(right):
+                continue
+            lists = t["leaves"].combine_chunks()
+            sizes = pc.list_value_length(lists).to_numpy()
+            seen = np.full((len(sizes), sizes.max()), -1, np.int64)
+            seen[np.arange(seen.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+            vectors = t["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
+            out.append(compared(t["class"].to_numpy(), t["n"].to_numpy(), vectors, seen, int(t["leaf"][0].as_py()), left, right))
+            if sum(len(a) for a, _, _ in out) > TILE or len(out) > TILE:
+                yield links_of(out)
+                out = []
+        if out:
+            yield links_of(out)
+
+    dealt = routed.repartition(parallelism(spark), *by).sortWithinPartitions(*by)
+    found = stored(dealt.mapInArrow(trimming(meet), schema("a long, b long, w long")), "links")
     counts = found.where("b < 0").groupBy(F.col("a").alias("counted")).agg(F.sum("w").alias("w"))
     roots = components(found.where("b >= 0").select("a", "b"))
     named = roots.join(classes, F.col("node") == F.col("class")).groupBy("root").agg(F.min("least").alias("first")).join(roots, "root").select("node", "first")
@@ -248,7 +312,7 @@ def fitted(classes: DataFrame, size: int, sample: int, trees: int, leaf: int, de
     for d in {len(r[0]) for r in drawn}:
         x = unit(np.array([r[0] for r in drawn if len(r[0]) == d], np.float64))
         labels = np.unique([r[1] for r in drawn if len(r[0]) == d], return_inverse=True)[1]
-        out[d] = [Tree.fitted(x, labels, size / len(drawn), leaf, depth, band_of(d, depth, trees), np.random.default_rng([seed, k])) for k in range(trees)]
+        out[d] = [Tree.fitted(x, labels, size / len(drawn), leaf, depth, part_of(depth, trees), np.random.default_rng([seed, k])) for k in range(trees)]
     return out
 
 
