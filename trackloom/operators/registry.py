@@ -13,6 +13,7 @@ from typing import Any
 import numpy as np
 
 from . import projection as pr
+from . import umap as um
 
 
 @dataclass(frozen=True)
@@ -119,5 +120,6 @@ register(Method("smacof", lambda x, y, steps: pr.smacof(x, steps=steps)[0], (Par
 register(Method("kpca", lambda x, y: pr.kernel_pca(x)))
 register(Method("isomap", lambda x, y, neighbours: pr.isomap(x, neighbours), (Parameter("neighbours", 15, 2, 200, _neighbours, lambda n: max(2, n - 1), (5, 10, 15, 25, 40)),)))
 register(Method("tsne", lambda x, y, perplexity, steps: pr.tsne(x, perplexity, steps=steps), (Parameter("perplexity", 15.0, 2, 200, _perplexity, lambda n: max(2.0, (n - 1) / 3), (5, 10, 15, 20, 30, 50)), Parameter("steps", 400, 50, 20000)), least=10))
+register(Method("umap", lambda x, y, neighbours, min_dist, epochs: um.dense(x, neighbours, min_dist, epochs), (Parameter("neighbours", 15, 2, 200, _neighbours, lambda n: max(2, n - 1), (5, 10, 15, 25, 40)), Parameter("min_dist", 0.1, 0.0, 1.0, scanned=(0.0, 0.1, 0.25, 0.5)), Parameter("epochs", 200, 10, 5000)), least=10))
 register(Method("lda", lambda x, y: pr.lda(x, y), supervised=True, caveat=GROUPS))
 register(Method("plsda", lambda x, y: pr.plsda(x, y)[0], supervised=True, caveat=GROUPS))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, maps, nodes, ordination, tracks, validation
+from . import groups, maps, neighbours, nodes, ordination, tracks, validation
 
-MODULES = (tracks, groups, maps, nodes, ordination, validation)
+MODULES = (tracks, groups, maps, neighbours, nodes, ordination, validation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
