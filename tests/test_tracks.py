@@ -193,3 +193,23 @@ def test_smoothing_of_tracks(spark):
     got = {(r["uid"], r["t"]): r for r in ta.smooth(spots, 7).collect()}
     assert all(got[u, t]["x"] == pytest.approx(x) and got[u, t]["other"] == "x" for u, x, _, t, _ in points)
     assert abs(got["a", 15.0]["y"] - 0.5) < 0.3 and got["b", 0.0]["y"] == 2 and ta.smooth(spots, 0) is spots
+
+
+def test_turns_straight_on_and_back_have_the_signs_of_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+    from trackloom.plans import tracks
+
+    r, n = np.random.default_rng(3), 40_000
+    duck = duckdb.connect()
+    rows = {"event_id": np.arange(n), "user_id": np.arange(n) // 100, "value": np.round(r.integers(0, 4, n) * 1.11, 2), "k": r.integers(0, 4, n)}
+    import pandas as pd
+
+    frame = pd.DataFrame(rows)  # noqa: F841
+    duck.execute(f"""copy (select event_id, TIMESTAMP '2024-01-01' + to_seconds(event_id * 7) as ts, user_id, 'view' as event_type, value, '{{"k": ' || k || '}}' as props from frame) to '{tmp_path}/events.parquet'""")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    for name in ("kin_turns", "metric_turn_entropy"):
+        got, want = tracks.queries()[name](spark, str(tmp_path)).toPandas(), duck.execute(tracks.SQL[name]).df()
+        got, want = (t[sorted(t.columns)].sort_values([c for c in ("uid", "i") if c in t.columns]).reset_index(drop=True) for t in (got, want))
+        for c in got.columns:
+            assert (np.abs(got[c].astype(float) - want[c].astype(float)) < 2e-3).all(), (name, c)
