@@ -188,3 +188,25 @@ def test_correlations_of_rows_that_have_both(spark):
     assert len(got) == 10 and got["a", "b"] == pytest.approx(np.corrcoef(both.T)[0, 1]) and got["a", "c"] == pytest.approx(-1)
     assert all(got[p] is None for p in got if {"same", "none"} & set(p))
     assert prep.uncorrelated(table, ["a", "b", "c"]) == ["a", "b"] and prep.uncorrelated(table.limit(0), ["a", "b", "c"]) == ["a", "b", "c"]
+
+
+def test_ranks_and_quantiles_of_features_need_no_task_for_all_rows(spark):
+    import numpy as np
+
+    from trackloom.operators import prepare
+
+    r = np.random.default_rng(5)
+    v = [[None if x < 0.1 else float(round(x * 20)), float(y)] for x, y in r.uniform(size=(3000, 2))]
+    t = spark.createDataFrame([(i, *x) for i, x in enumerate(v)], "k long, a double, b double")
+    out = prepare.scaled(t, ["a", "b"], "rank")
+    assert "SinglePartition" not in out.groupBy().count()._jdf.queryExecution().optimizedPlan().toString()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window [count(" not in plan and "rank(" not in plan
+    got = {x["k"]: (x["a"], x["b"]) for x in out.collect()}
+    for c in (0, 1):
+        there = sorted(x[c] for x in v if x[c] is not None)
+        for k, x in enumerate(v):
+            want = None if x[c] is None else (np.searchsorted(there, x[c]) + np.searchsorted(there, x[c], "right") + 1) / 2 - 0.5
+            assert got[k][c] is None if want is None else abs(got[k][c] - want / len(there)) < 1e-12
+    for made in (prepare.scaled(t, ["a", "b"], "robust"), prepare.winsorised(t, ["a", "b"], 0.05), prepare.imputed(t, ["a", "b"]), prepare.summary(t, ["a", "b"])):
+        assert "percentile(" not in made._jdf.queryExecution().optimizedPlan().toString()
