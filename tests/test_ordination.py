@@ -102,3 +102,21 @@ def test_shepard_is_spearman(spark, samples):
     at = np.triu_indices(len(x), 1)
     a, b = (np.argsort(np.argsort(distances(v, v, "euclidean")[at])) for v in (x, layout))
     assert row["pairs"] == len(at[0]) and abs(row["spearman"] - np.corrcoef(a, b)[0, 1]) < 1e-5
+
+
+@pytest.mark.parametrize("metric", ["cosine", "correlation"])
+def test_dispersions_of_unit_vectors_compare_no_pairs(spark, metric, monkeypatch):
+    from trackloom.operators.statistics import distances
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(90, 5))
+    x[7], x[8] = 0, x[9]
+    g = [None if i % 4 == 3 else f"g{i % 4}" for i in range(90)]
+    t = spark.createDataFrame([(i, h, v.tolist()) for i, (h, v) in enumerate(zip(g, x, strict=True))], "id long, grp string, vec array<double>")
+    monkeypatch.setattr(od, "over_pairs", None)
+    got = {row["key"]: row["dist"] for row in od.dispersions(t, "id", "grp", "vec", metric).collect()}
+    d2 = distances(x, x, metric) ** 2
+    for i in range(90):
+        own = np.array([h == g[i] for h in g])
+        want = d2[i, own].mean() - d2[np.ix_(own, own)].mean() / 2
+        assert abs(got[i] - np.sqrt(max(want, 0))) < 1e-7
