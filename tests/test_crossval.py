@@ -76,3 +76,17 @@ def test_nested_replicates(table):
     got = {r["group"]: r["recall"] for r in cv.recall_table(nested, "id", "grp", "vec", "rep", "leave_one_replicate_out").collect()}
     assert got["b"] == 0.0  # no fold that holds b out has seen it
     assert cv.pairwise_accuracy(table.where("grp = 'a'"), "id", "grp", "vec").collect() == []
+
+
+def test_folds_in_parts_are_those_of_whole_groups(spark, monkeypatch):
+    import hashlib
+
+    from trackloom.operators import crossval
+
+    t = spark.createDataFrame([(i, i % 3) for i in range(400)], "k long, g int")
+    monkeypatch.setattr(crossval, "TOGETHER", 20)
+    got = {r["key"]: r["folds"] for r in crossval.fold_plan(t, "k", "g", repeats=2)[0].collect()}
+    for repeat in range(2):
+        for g in range(3):
+            own = sorted((i for i in range(400) if i % 3 == g), key=lambda i: (hashlib.md5(f"0|{repeat}|{i}".encode()).hexdigest(), i))
+            assert [got[i][repeat] for i in own] == [n % 5 for n in range(len(own))]

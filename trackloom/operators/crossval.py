@@ -45,14 +45,19 @@ def fold_plan(rows: DataFrame, key: str, group: str, replicate: str | None = Non
         return rows.join(table, "r").select("key", "folds"), scheme
     if scheme not in ("stratified", "repeated_stratified"):
         raise ValueError(f"scheme {scheme!r} is not known")
-    part = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-sum(per.values()) // TOGETHER))))
-    rows = rows.withColumn("b", part)
-    size = rows.groupBy(F.col("b").alias("sb"), F.col("g").alias("sg")).agg(F.count("*").alias("n"))
-    before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("sg").orderBy("sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = lambda i: F.row_number().over(Window.partitionBy("b", "g").orderBy(F.md5(F.concat(F.lit(f"{seed}|{i}|"), F.col("key").cast("string"))), "key"))
-    ranked = rows.select("key", "b", "g", *[rank(i).alias(f"r{i}") for i in range(repeats if scheme == "repeated_stratified" else 1)])
-    folds = F.array(*[((F.col(c) - 1 + F.col("before")) % k).cast("int") for c in ranked.columns if c[0] == "r" and c != "rank"])
-    return ranked.join(before, (F.col("b") == F.col("sb")) & (F.col("g") == F.col("sg"))).select("key", folds.alias("folds")), scheme
+    digits = 0  # the first hexadecimal digits of a hash part the rows in the order of the hashes
+    while 16**digits * TOGETHER < sum(per.values()):
+        digits += 1
+    times = repeats if scheme == "repeated_stratified" else 1
+    rows = rows.withColumns({f"h{i}": F.md5(F.concat(F.lit(f"{seed}|{i}|"), F.col("key").cast("string"))) for i in range(times)})
+    for i in range(times):
+        rows = rows.withColumn("b", F.substring(f"h{i}", 1, digits))
+        size = rows.groupBy(F.col("b").alias("sb"), F.col("g").alias("sg")).agg(F.count("*").alias("n"))
+        before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("sg").orderBy("sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        rank = F.row_number().over(Window.partitionBy("b", "g").orderBy(f"h{i}", "key"))
+        rows = rows.withColumn("rank", rank).join(F.broadcast(before), (F.col("b") == F.col("sb")) & (F.col("g") == F.col("sg")))
+        rows = rows.withColumn(f"h{i}", ((F.col("rank") - 1 + F.col("before")) % k).cast("int")).drop("b", "rank", "sb", "sg", "before")
+    return rows.select("key", F.array(*[f"h{i}" for i in range(times)]).alias("folds")), scheme
 
 
 def grouped_folds(counts: list[tuple[str, str, int]], k: int) -> dict[str, int]:
