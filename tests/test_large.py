@@ -21,3 +21,26 @@ def test_sums_by_node_without_objects():
     assert np.array_equal(som.matrix(pa.array(x.tolist())[5:9]), x[5:9])
     with pytest.raises(ValueError):
         som.matrix(pa.array([[1.0, 2.0], [3.0], [4.0, 5.0, 6.0]]))
+
+
+def test_pairs_of_blocks_are_met_once_in_few_large_blocks(spark):
+    from trackloom.operators import ordination as od
+    from trackloom.operators import statistics as st
+
+    assert [-(-n // st.block_rows(n)) for n in (100, 10_000, 100_000, 600_000)] == [1, 20, 24, 37]
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(700, 4)), r.integers(0, 3, 700)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    m = np.array([[d[np.ix_(y == a, y == b)].mean() for b in range(3)] for a in range(3)])
+    n = np.bincount(y)
+    want = sum(n[a] * n[b] / (n[a] + n[b]) * (2 * m[a, b] - m[a, a] - m[b, b]) for a in range(3) for b in range(a + 1, 3))
+    rows = table(spark, x, y)
+    for block in (None, 150):
+        assert np.isclose(st.energy(rows, "id", "g", "v", block).first()["energy"], want)
+    upper = np.triu_indices(700, 1)
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    near = np.sqrt(((x[:, None, :2] - x[:, :2]) ** 2).sum(2))
+    want = np.corrcoef(rank(d[upper]), rank(near[upper]))[0, 1]
+    for block in (None, 150):
+        got = od.shepard(rows.selectExpr("id", "v", "slice(v, 1, 2) AS w"), "id", "v", "w", block=block).first()
+        assert got["pairs"] == 700 * 699 // 2 and abs(got["spearman"] - want) < 1e-4
