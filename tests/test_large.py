@@ -44,3 +44,61 @@ def test_pairs_of_blocks_are_met_once_in_few_large_blocks(spark):
     for block in (None, 150):
         got = od.shepard(rows.selectExpr("id", "v", "slice(v, 1, 2) AS w"), "id", "v", "w", block=block).first()
         assert got["pairs"] == 700 * 699 // 2 and abs(got["spearman"] - want) < 1e-4
+
+
+def test_cosine_axes_from_moments_agree_with_all_pairs(spark):
+    from trackloom.operators import ordination as od
+
+    x = np.random.default_rng(2).normal(size=(60, 5)) + 0.5
+    x[7] = 0
+    u = np.where(np.arange(60)[:, None] == 7, 0, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+    d = 1 - u @ u.T
+    d[7] = d[:, 7] = 0
+    d[np.arange(60), np.arange(60)] = 0
+    j = np.eye(60) - 1 / 60
+    value, vector = np.linalg.eigh(-0.5 * j @ d**2 @ j)
+    real, imaginary = np.argsort(-value)[:5], np.argsort(value)[:5]
+    got = od.pcoa(table(spark, x), "id", "v", "cosine").collect()
+    for flag, want in ((False, real), (True, imaginary)):
+        for i, k in enumerate(want):
+            c = sorted((r["key"], r["coordinate"], r["eigenvalue"]) for r in got if r["imaginary"] == flag and r["axis"] == i + 1)
+            assert len(c) == 60 and np.isclose(c[0][2], value[k])
+            assert np.allclose(np.abs([r[1] for r in c]), np.abs(vector[:, k]) * np.sqrt(abs(value[k])), atol=1e-8)
+
+
+def test_kernel_axes_over_pairs_of_blocks(spark):
+    from trackloom.operators import ordination as od
+    from trackloom.operators import projection as pr
+
+    x = np.random.default_rng(3).normal(size=(90, 4)) * [3, 2, 1, 1]
+    want = pr.kernel_pca(x)
+    got = od.kernel_axes(table(spark, x), "id", "v", block=40).collect()
+    for i in (0, 1):
+        c = [r["coordinate"] for r in sorted(got, key=lambda r: r["key"]) if r["axis"] == i + 1]
+        assert np.allclose(np.abs(c), np.abs(want[:, i]), atol=1e-5)
+
+
+def test_resampled_discriminants_against_the_dense_ones(spark):
+    from trackloom.operators import classify as cl
+    from trackloom.operators import resampled as rs
+
+    r = np.random.default_rng(4)
+    y = r.permutation(np.repeat([0, 1, 2], [300, 200, 150]))
+    x = r.normal(size=(650, 4)) * [1, 2, 3, 1] + np.array([[0, 0, 0, 0], [1, 0, 0, 0], [0, 2, 0, 0]])[y] + 5
+    rows = table(spark, x, y)
+    tool = rs.Draws(rows, "id", "g", "v")
+    of = tool.cells()
+    packs = {p["block"]: p for p in tool.rows.collect()}
+    for draw in ((0, False), (3, True)):
+        label, fold = np.zeros(650, int), np.zeros(650, int)
+        for b, p in packs.items():
+            label[p["keys"]], fold[p["keys"]] = of(b, np.array([tool.groups.index(g) for g in p["g"]]), draw)
+        assert np.bincount(label).tolist() == [300, 200, 150] and (draw[1] or (label == y).all())
+        for g in range(3):
+            assert np.ptp(np.bincount(fold[label == g], minlength=5)) <= 1
+        want = cl.out_of_fold(x, label, fold, "lda_shrinkage")
+        counts = np.array([[((label == a) & (want == b)).sum() for b in range(3)] for a in range(3)])
+        assert np.array_equal(tool.confusions([draw])[0], counts)
+    got, plain = rs.classify(rows, "id", "g", "v", permutations=19), cl.classify(x, y, permutations=19)
+    assert abs(got.balanced_accuracy - plain.balanced_accuracy) < 0.03 and got.p == plain.p == 0.05 and got.low < got.balanced_accuracy < got.high
+    assert np.allclose(rs.importance(rows, "id", "g", "v"), cl.importance(x, y), atol=0.03)
