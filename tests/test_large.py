@@ -102,3 +102,17 @@ def test_resampled_discriminants_against_the_dense_ones(spark):
     got, plain = rs.classify(rows, "id", "g", "v", permutations=19), cl.classify(x, y, permutations=19)
     assert abs(got.balanced_accuracy - plain.balanced_accuracy) < 0.03 and got.p == plain.p == 0.05 and got.low < got.balanced_accuracy < got.high
     assert np.allclose(rs.importance(rows, "id", "g", "v"), cl.importance(x, y), atol=0.03)
+
+
+def test_rank_quality_block_by_block(spark, monkeypatch):
+    from trackloom.operators import projection as pr
+    from trackloom.operators import ranked as rk
+
+    x = np.random.default_rng(5).integers(0, 6, (110, 5)).astype(float)  # with equal distances
+    x[60] = x[3]
+    want, near = pr.rank_quality(x, x[:, :2]), pr.agreement([x, x[:, :2]])[0, 1]
+    for held in (8_000_000, 3300):
+        monkeypatch.setattr(rk, "HELD", held)
+        got = rk.quality(table(spark, x), "id", "v", 2)
+        assert np.allclose(got["rnx"], want["rnx"]) and np.isclose(got["agreement"], near)
+        assert np.isclose(got["trustworthiness"], want["trustworthiness"]) and np.isclose(got["continuity"], want["continuity"])
