@@ -116,3 +116,15 @@ def test_rank_quality_block_by_block(spark, monkeypatch):
         got = rk.quality(table(spark, x), "id", "v", 2)
         assert np.allclose(got["rnx"], want["rnx"]) and np.isclose(got["agreement"], near)
         assert np.isclose(got["trustworthiness"], want["trustworthiness"]) and np.isclose(got["continuity"], want["continuity"])
+
+
+def test_floats_travel_as_floats_to_the_same_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import neighbours as nb
+
+    rows = table(spark, np.random.default_rng(6).normal(size=(700, 4)).astype(np.float32))
+    floats = rows.select("id", F.col("v").cast("array<float>").alias("v"))
+    assert floats.select(nb.numbers(floats, "v").alias("x")).schema["x"].dataType.simpleString() == "array<float>"
+    for find in (lambda t: nb.neighbour_graph(t, "id", "v", 5), lambda t: nb.exact_neighbours(t, "id", "v", 5, F.col("id") % 20 == 0)):
+        assert find(floats).orderBy("node", "d", "other").select("node", "other", "d").collect() == find(rows).orderBy("node", "d", "other").select("node", "other", "d").collect()
