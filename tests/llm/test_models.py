@@ -393,3 +393,17 @@ def test_labels_of_any_type(spark):
     x = np.random.default_rng(4).normal(size=(40, 8)).tolist()
     table = spark.createDataFrame([(i, x[i % 40], float("nan") if i % 2 else 1.5) for i in range(120)], "vec_id long, embedding array<double>, label double")
     assert {(r["vec_id"] % 40, r["n_links"], r["component_id"]) for r in rp_forest.near_vectors(table).collect()} == {(i, 2, i) for i in range(40)}
+
+
+def test_scores_do_not_depend_on_lanes_and_windows():
+    import inspect
+
+    from trackloom.llm import gru
+
+    r, shape = np.random.default_rng(3), gru.Shape()
+    docs = [r.integers(0, shape.words + shape.rest, k) for k in (1, 700, 64, 65, 3, 128)]
+    want = gru.scores(gru.initial(shape), shape, docs)
+    for lanes, window in ((512, 32), (2, 64), (1, 7)):
+        assert np.allclose(gru.scores(gru.initial(shape), shape, docs, lanes, window), want, rtol=1e-6)
+    given = inspect.signature(gru.scores).parameters
+    assert (given["lanes"].default, given["window"].default) == (256, 64)  # a tenth less time than 512 lanes of 32

@@ -155,8 +155,9 @@ def token_scores(w: Weights, shape: Shape, before: np.ndarray, codes: np.ndarray
     return out
 
 
-def scores(w: Weights, shape: Shape, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
-    """Natural log probability of each document's codes (not empty), the state carried through all of it."""
+def scores(w: Weights, shape: Shape, docs: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
+    """Natural log probability of each document's codes (not empty), the state carried through all of it. lanes and window
+    change the time alone."""
     out = np.zeros(len(docs))
     if not docs:
         return out
