@@ -26,3 +26,41 @@ def test_forest_balances_groups(spark):
     df = spark.createDataFrame([(str(int(c)), v.tolist()) for c, v in zip(y, x, strict=True)], "grp string, vec array<double>")
     model = fo.forest(df, "grp", "vec", ["0", "1"], trees=20, depth=3)
     assert model.transform(fo.labelled(df, "grp", "vec", ["0", "1"])).where("grp = '1' and prediction = 1").count() >= 8
+
+
+def test_large_nodes_are_split_as_small_ones(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    y = np.arange(300) % 3
+    x = r.normal(size=(300, 9)) + 1.2 * np.eye(9)[y]
+    df = spark.createDataFrame([(i, f"g{y[i]}", int(i % 2), x[i].tolist()) for i in range(300)], "key long, g string, fold int, v array<double>")
+    monkeypatch.setattr(fo, "BLOCK", 40)
+    cuts = np.quantile(x, np.arange(1, fo.BINS) / fo.BINS, axis=0).T
+    packs = fo.binned(df, cuts, ["g0", "g1", "g2"], {0: 150, 1: 150})
+    weights, grown = {f: np.array([1.0, 1.5, 1.0]) for f in (0, 1)}, []
+    for small in (10_000, 20):
+        monkeypatch.setattr(fo, "SMALL", small)
+        grown.append(fo.forests(packs, weights, {0: 150, 1: 150}, 9, 6, 7, 0))
+    for f in (0, 1):
+        assert len(grown[0][f]) == len(grown[1][f]) == 6
+        for a, b in zip(grown[0][f], grown[1][f], strict=True):
+            for c in ("number", "feature", "left"):
+                assert np.array_equal(getattr(a, c), getattr(b, c)), c
+            assert np.array_equal(a.bin[a.feature >= 0], b.bin[b.feature >= 0]) and np.allclose(a.share, b.share)
+    codes = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x[:50].T, strict=True)], 1).astype(np.uint8)
+
+    def hits(codes):
+        total = 0
+        for tree in grown[0][0]:
+            *_, (_, _, at) = tree.reached(lambda k, f: codes[k, f], 50)
+            total = total + tree.share[at]
+        return (total.argmax(1) == y[:50]) @ np.eye(3)[y[:50]]
+
+    got = fo.permuted_hits(grown[0][0], y[:50], codes, 3, 2, np.random.default_rng(1))
+    random = np.random.default_rng(1)
+    new = [random.permuted(codes, axis=0) for _ in range(2)]
+    for at, n in enumerate(new):
+        for j in range(9):
+            changed = codes.copy()
+            changed[:, j] = n[:, j]
+            assert np.abs(got[1 + at * 9 + j] - hits(changed)).max() <= 1  # sums of shares are added in another order
+    assert np.array_equal(got[0], hits(codes))
