@@ -171,3 +171,16 @@ def test_crc_column(docs, rows):
     for p in packing.digests(packing.packed(docs)).collect():
         want = np.array([*ids_of(rows[p["doc_id"]][1]), 2], "<u4")[p["start"] : p["start"] + p["length"]]
         assert p["ids_crc32"] == zlib.crc32(want.tobytes())
+
+
+def test_model_is_asked_once_for_words_that_differ_in_case():
+    from types import SimpleNamespace
+
+    from trackloom.llm import encoding as en
+
+    coder, asked = en.Encoder(en.default_path()), []
+    real = coder.tokenizer
+    coder.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=lambda t: asked.append(t) or real.model.tokenize(t)), encode=real.encode)
+    text = "Unhappily unhappily UNHAPPILY, unHappily."
+    ids = np.frombuffer(coder.encode([text.encode()])[1], coder.dtype)
+    assert ids.tolist() == real.encode(text, add_special_tokens=False).ids and asked == ["unhappily"]

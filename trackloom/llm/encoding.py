@@ -88,7 +88,7 @@ class Encoder:
     def _by_library(self, chunks: list[bytes]) -> list[bytes]:
         out: dict[bytes, bytes] = {}
         model, shown, kind, stops = self.tokenizer.model.tokenize, self.shown, self.kind, self.stops
-        whole, stopped = [], []
+        whole, stopped, lowered = [], [], {}
         for c in chunks:
             stem = c
             if c[-1:] in stops and c[-2:-1].isalpha():
@@ -97,7 +97,11 @@ class Encoder:
                 if stem in out:
                     continue
             if stem.isalpha():
-                out[stem] = array(kind, [t.id for t in model(stem.lower().decode())]).tobytes()
+                low = stem.lower()  # the model is asked once for words that differ in case alone
+                ids = lowered.get(low)
+                if ids is None:
+                    ids = lowered[low] = array(kind, [t.id for t in model(low.decode())]).tobytes()
+                out[stem] = ids
             elif is_plain(stem):
                 out[stem] = array(kind, [t.id for t in model(stem.decode().lower().encode().decode("latin-1").translate(shown))]).tobytes()
             else:
