@@ -47,3 +47,20 @@ def test_online_map_over_rows(spark, monkeypatch):
     monkeypatch.setattr(maps, "SomConfig", lambda **given: SomConfig(**({"epochs": 5} | given)))
     rows = maps.queries()["som_train_online"](spark, SMALL).collect()
     assert len({g["vec_id"] for g in rows}) == len(rows) == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+
+
+def test_relevance_map_over_rows(spark, monkeypatch):
+    from trackloom.plans import maps
+
+    r = np.random.default_rng(8)
+    y = r.integers(0, 3, 300)
+    x = np.c_[r.normal(size=(300, 2)) + 4 * np.eye(3)[y][:, :2], r.normal(size=(300, 3))]
+    cfg = SomConfig(algorithm="relevance", epochs=6, width=4, height=3)
+    want = som.relevance(x, y, cfg)
+    got = scan.relevance(table(spark, x, y), "v", "g", cfg)
+    assert np.allclose(got.relevance, want.relevance) and np.allclose(got.codebook, want.codebook)
+    assert got.relevance[:2].min() > got.relevance[2:].max() and [h["epoch"] for h in got.history] == list(range(1, 7))
+    assert np.isclose(got.history[-1]["quantisation_error"], want.history[-1]["quantisation_error"])
+    monkeypatch.setattr(pr, "LIMIT", 100)
+    rows = maps.queries()["som_train_relevance"](spark, SMALL).collect()
+    assert len({g["vec_id"] for g in rows}) == len(rows) == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
